@@ -15,8 +15,22 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.warc import archived
+
+    return archived(table(spark, sf_dir, "pages"))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidelog.llm.pieces import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_mixing,)}
+    return {f.__name__: f for f in (op7_warc, op9_mixing, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
