@@ -15,6 +15,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op1_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidelog.llm.wavelet import documents, write
+
+    return documents(write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.simhash import near_duplicates
 
@@ -36,7 +44,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash, op7_warc, op9_mixing, op10_pieces)}
+    return {f.__name__: f for f in (op1_wavelet, op4_simhash, op7_warc, op9_mixing, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
