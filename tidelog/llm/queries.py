@@ -5,10 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidelog.llm.common import table
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.toxicity import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("mark")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.mixing import mix
 
@@ -29,6 +36,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.lines import without_boilerplate
+
+    d = without_boilerplate(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_lines", "n_removed", F.length("text").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.warc import archived
 
@@ -44,7 +58,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet, op4_simhash, op7_warc, op9_mixing, op10_pieces)}
+    return {f.__name__: f for f in (op1_wavelet, op4_simhash, op5_lines, op7_warc, op8_toxicity, op9_mixing, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
