@@ -30,6 +30,12 @@ def op1_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.extract import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.simhash import near_duplicates
 
@@ -58,7 +64,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet, op4_simhash, op5_lines, op7_warc, op8_toxicity, op9_mixing, op10_pieces)}
+    return {f.__name__: f for f in (op1_wavelet, op3_extract, op4_simhash, op5_lines, op7_warc, op8_toxicity, op9_mixing, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
