@@ -49,6 +49,13 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_lines", "n_removed", F.length("text").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.ann import search
+
+    d = table(spark, sf_dir, "embeddings")
+    return search(d, d.where("vec_id % 20 = 0"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.warc import archived
 
@@ -64,7 +71,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet, op3_extract, op4_simhash, op5_lines, op7_warc, op8_toxicity, op9_mixing, op10_pieces)}
+    return {f.__name__: f for f in (op1_wavelet, op3_extract, op4_simhash, op5_lines, op6_ann, op7_warc, op8_toxicity, op9_mixing, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
