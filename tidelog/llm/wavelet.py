@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ from tidelog.llm.common import scratch
 MAGIC = b"WMX1"
 BLOCK = 512  # bits between counts
 SHARD = 1 << 20  # a shard closes once it has so many ids
-WORDS = 200_000  # words whose ids a worker keeps, twice: the latest and those before
+WORDS = 400_000  # words whose ids a worker keeps, twice: the latest and those before
 SHARDS = "part int, seq int, before long, n_tokens long, n_docs long, data binary"
 
 
@@ -187,7 +188,7 @@ class Wavelet:
 
 
 class WordIds:
-    """Ids of whole texts by a tokenizer that never joins across spaces, tabs and line feeds.
+    """Ids of whole texts by a tokenizer that ignores case and never joins across spaces, tabs and line feeds.
 
     Words between those repeat, so the library encodes each once and a text is joined from what it
     gave. A word of letters with closing marks is encoded as its letters and its marks, which the
@@ -198,7 +199,7 @@ class WordIds:
     against the library on whole texts.
     """
 
-    MARKS = ".,!?;:|"
+    MARKS = string.punctuation.replace("'", "")  # an apostrophe may belong to the letters after it
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -225,7 +226,7 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 4-byte ids of each text."""
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        split = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         new = self._missing(self.words, set().union(*split))
         known = self.words[0]
         if new:
