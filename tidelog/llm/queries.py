@@ -30,6 +30,12 @@ def op1_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op2_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.graphs import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.extract import extracted
 
@@ -71,7 +77,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet, op3_extract, op4_simhash, op5_lines, op6_ann, op7_warc, op8_toxicity, op9_mixing, op10_pieces)}
+    return {f.__name__: f for f in (op1_wavelet, op2_graphs, op3_extract, op4_simhash, op5_lines, op6_ann, op7_warc, op8_toxicity, op9_mixing, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
