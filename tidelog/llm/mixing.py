@@ -81,8 +81,8 @@ def draw(seed: int, doc_id: Column) -> Column:
 def mix(docs: DataFrame, carry: Sequence[str] = (), weights: Sequence[int] = (5, 2, 1), limit: float = 3.0, block: int = 64, shard_rows: int = 4096, seed: int = 42) -> DataFrame:
     """How many words of each document the mix takes, repeats counted.
 
-    Returns doc_id, source, the carried columns, size, source_size, target, shard, quota (its
-    blocks), copies (whole documents, nearest to taken) and taken. taken is passes x size plus the part of the
+    Returns doc_id, source, carried (a struct of the columns asked for, if any), size, source_size,
+    target, shard, quota (its blocks), copies (whole documents, nearest to taken) and taken. taken is passes x size plus the part of the
     document that lies before the shard's cut, so no document passes limit x size.
 
     A null text has no words; a null source is a source of its own, after all others; documents
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, carry: Sequence[str] = (), weights: Sequence[int] = (5,
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     drawn = draw(seed, F.col("doc_id"))
-    d = docs.select(F.col("doc_id"), F.col("source"), *(F.col(c) for c in carry if c not in ("doc_id", "source")), n_words(F.col("text")).alias("size"), key.alias("_key"), drawn.alias("_draw"))
+    d = docs.select(F.col("doc_id"), F.col("source"), *([F.struct(*carry).alias("carried")] if carry else []), n_words(F.col("text")).alias("size"), key.alias("_key"), drawn.alias("_draw"))
     d = d.withColumn("_bucket", F.conv(F.substring("_draw", 1, 8), 16, 10).cast("long") % BUCKETS)
     cells = written(d.groupBy("_key", "source", "_bucket").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")), "mix-buckets")
     sources = targets(cells.groupBy("_key", "source").agg(F.sum("size").alias("size"), F.sum("rows").alias("rows")), weights, limit)

@@ -59,14 +59,14 @@ def _bit_counts(hashes: list[int]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and its fingerprint as a signed long. Null text has no words."""
+    """doc_id, mark (a hash that tells its texts apart) and the fingerprint as a signed long. Null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [fingerprint(t.as_py() or b"", shingle) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            fp = [fingerprint(t.as_py() or b"", shingle) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "mark", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def correlated_parts(bits: np.ndarray, m: int) -> list[list[int]]:
@@ -226,7 +226,7 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (signed), fingerprint (16 hex digits) and component_id of every document.
+    """doc_id, mark, fp (signed), fingerprint (16 hex digits) and component_id of every document.
 
     Documents with one fingerprint are one node; component_id is the smallest doc_id that links reach.
     Null or wordless text has fingerprint zero and links like any other. A null doc_id keeps its row
@@ -239,4 +239,4 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> Dat
     nodes = nodes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = nodes.join(least, "component").select("fp", "component_id")
-    return fps.join(ids, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(ids, "fp").select("doc_id", "mark", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
