@@ -21,7 +21,7 @@ def fnv1a64(text: Column) -> Column:
     big = F.lit(Decimal(1 << 64)).cast("decimal(20,0)")
     low = F.lit(1 << 24).cast("decimal(20,0)")
     digits = F.hex(F.encode(text, "UTF-8"))
-    octets = F.transform(F.sequence(F.lit(1), F.length(digits) / 2), lambda i: F.conv(F.substr(digits, (i * 2 - 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
+    octets = F.transform(F.sequence(F.lit(1), F.greatest((F.length(digits) / 2).cast("int"), F.lit(1))), lambda i: F.conv(F.substr(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
 
     def step(h: Column, b: Column) -> Column:
         tail = (h % 256).cast("int")
