@@ -19,7 +19,7 @@ SIGMAS = 4  # width of the band that is counted exactly, in standard errors
 
 def hashes(text: Column) -> Column:
     """The hash of each line of text, without white space at its ends; null for a blank line."""
-    bare = lambda x: F.regexp_replace(x, r"^[\s\x{0}]+|[\s\x{0}]+$", "")
+    bare = lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.when(F.length(bare(x)) > 0, F.xxhash64(bare(x))))
 
 
