@@ -36,6 +36,7 @@ SHARD = 2048  # nodes of a block at most, in the mean of its hash
 DEGREE = 24
 POOL = 64  # candidates that a node's neighbours are pruned from
 BEAM = 48
+MANY = 64  # hits from which on a query's set is completed by links instead of by walking
 STEP = 6  # expansions of a query in a round
 ALPHA = 1.2
 MEDOIDS = 8
@@ -103,7 +104,8 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, q: np.ndarray, cosine: fl
     """Boolean queries x members: the members at `cosine` or more that the search meets.
 
     A greedy beam of BEAM members runs from the medoids until all of it is expanded; then every hit
-    that is not yet expanded is, and every hit so found. All queries advance together, STEP expansions
+    that is not yet expanded is, and every hit so found, for as long as a query has MANY hits or fewer:
+    larger sets are completed from the graph's own links (see _roots and _complete). All queries advance together, STEP expansions
     a round. The walk is in single precision with a little slack; hits are verified in double.
     adjacency: members x width, rows padded with the member itself.
     """
@@ -151,7 +153,7 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, q: np.ndarray, cosine: fl
     rows = all_q
     while len(rows):
         open_ = hits[rows] & ~expanded[rows]
-        more = open_.any(1)
+        more = open_.any(1) & (hits[rows].sum(1) <= MANY)
         rows, open_ = rows[more], open_[more]
         if not len(rows):
             break
@@ -164,10 +166,17 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, q: np.ndarray, cosine: fl
     return hits
 
 
-def _roots(found: np.ndarray, asks: np.ndarray, base: np.ndarray, nodes: int) -> np.ndarray:
-    """The least member number of each member's connected set. found: queries x base; asks, base: their member numbers."""
-    root = np.arange(nodes)
+def _roots(found: np.ndarray, x: np.ndarray, asks: np.ndarray, base: np.ndarray, adjacency: np.ndarray, cosine: float) -> np.ndarray:
+    """The least member number of each member's connected set, over hits and over the links of the graph that are in range themselves.
+
+    found: queries x base; asks, base: their member numbers; adjacency: rows of numbers in base.
+    """
+    root = np.arange(len(x))
     hit = [(int(asks[i]), base[np.flatnonzero(found[i])]) for i in np.flatnonzero(found.any(1))]
+    for a in range(0, len(base), 128):
+        to = base[adjacency[a : a + 128]]
+        near = np.einsum("nd,nwd->nw", x[base[a : a + 128]], x[to]) >= cosine
+        hit += [(int(base[a + i]), to[i][near[i]]) for i in np.flatnonzero(near.sum(1) > (to == base[a : a + 128, None]).sum(1))]
     changed = True
     while changed:  # labels only fall, and each round carries the least one a link further at least
         changed = False
@@ -261,7 +270,7 @@ def links(nodes: DataFrame, cosine: float = 0.98, most: int = SAMPLE) -> tuple[D
             seen = np.zeros((len(asks), len(base)), bool)
             for s in range(0, len(asks), 512):
                 seen[s : s + 512] = range_search(x[base], adjacency, x[asks[s : s + 512]], cosine)
-            root = _roots(seen, asks, base, len(ids))
+            root = _roots(seen, x, asks, base, adjacency, cosine)
             _complete(seen, root, x, asks, base, cosine)
             if i == j:
                 seen |= seen.T
@@ -342,15 +351,20 @@ def audit(result: DataFrame, vectors: DataFrame, cosine: float = 0.98, most: int
     asked = d.select("vec_id", "embedding", F.col("label").cast("string").alias("label")).orderBy(F.xxhash64("vec_id")).limit(most).collect()
     if not asked:
         return 1.0
-    ids, labels = np.array([r[0] for r in asked]), np.array([r[2] for r in asked])
-    sent = vectors.sparkSession.sparkContext.broadcast((ids, labels, _unit(np.array([r[1] for r in asked], np.float64))))
+    by: dict[int, list] = {}
+    for r in asked:
+        by.setdefault(len(r[1]), []).append(r)
+    sent = vectors.sparkSession.sparkContext.broadcast({w: (np.array([r[0] for r in rs]), np.array([r[2] for r in rs]), _unit(np.array([r[1] for r in rs], np.float64))) for w, rs in by.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, labels, q = sent.value
         for b in batches:
-            if b.num_rows:
-                hit = (q @ _unit(matrix(b.column(1))).T >= cosine) & (labels[:, None] == np.array(b.column(2).to_pylist())[None, :]) & (ids[:, None] != b.column(0).to_numpy()[None, :])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hit.sum(1))], ["vec_id", "true"])
+            widths = np.array([len(x) for x in b.column(1)])
+            for w, (ids, labels, q) in sent.value.items():
+                part = pa.Table.from_batches([b]).filter(pa.array(widths == w)).combine_chunks()
+                if part.num_rows:
+                    x = matrix(part.column(1).combine_chunks())
+                    hit = (q @ _unit(x).T >= cosine) & (labels[:, None] == np.array(part.column(2).to_pylist())[None, :]) & (ids[:, None] != part.column(0).to_numpy()[None, :])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hit.sum(1))], ["vec_id", "true"])
 
     true = d.select("vec_id", F.col("embedding").cast("array<double>"), F.col("label").cast("string")).mapInArrow(run, "vec_id long, true long").groupBy("vec_id").agg(F.sum("true").alias("true"))
     r = true.join(result, "vec_id").agg(F.sum(F.least("true", "n_links")), F.sum("true")).first()
