@@ -182,7 +182,7 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     """
     spark = fps.sparkSession
     sample = [r[0] for r in fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()]
-    n = fps.count()
+    n = max(fps.count(), 1)
     rows = buckets(fps, plan(np.array(sample, np.int64).view(np.uint64), n, distance))
     held = rows.groupBy("part", "value").agg(F.count(F.lit(1)).alias("held"), F.max("home").alias("any"))
     held = held.where("held > 1 and any").select("part", "value", F.ceil(F.col("held") / BUCKET).cast("int").alias("blocks"))
