@@ -2,8 +2,9 @@
 
 A line's spread is the number of distinct sites (sources) that hold it. HyperLogLog sketches of the
 sites, one a line hash, merge by aggregation; a line whose estimate lies within the sketch's error of
-the threshold gets an exact distinct count. Lines that occur in fewer documents than the threshold
-asks sites for cannot reach it and get no sketch.
+the threshold gets an exact distinct count. Sketches are first made where the lines lie, so a line
+that a third of the documents hold costs a row a task; lines in fewer documents than the threshold
+asks sites for cannot reach it and go before anything is counted exactly.
 """
 
 from __future__ import annotations
@@ -25,13 +26,12 @@ def hashes(text: Column) -> Column:
 
 def spread(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     """hash, first (smallest doc_id) of every line that min_sites sites or more hold. docs: doc_id, source, h (a row for each line of a document)."""
-    often = docs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("h")
-    held = docs.join(often, "h")
-    sketches = written(held.groupBy("h").agg(F.hll_sketch_agg("source", F.lit(LG_K)).alias("sketch"), F.min("doc_id").alias("first")).withColumn("sites", F.hll_sketch_estimate("sketch")).drop("sketch"), "line-sketches")
+    held = docs.groupBy("h").agg(F.hll_sketch_agg("source", F.lit(LG_K)).alias("sketch"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    sketches = written(held.where(F.col("n") >= min_sites).select("h", "first", F.hll_sketch_estimate("sketch").alias("sites")), "line-sketches")
     error = 1 + SIGMAS * 1.04 / 2 ** (LG_K / 2)
     sure = sketches.where(F.col("sites") > min_sites * error)
     near = sketches.where((F.col("sites") <= min_sites * error) & (F.col("sites") * error >= min_sites - 1))
-    counted = held.join(near.select("h", "first"), "h").groupBy("h", "first", "source").agg(F.lit(1).alias("one")).groupBy("h", "first").agg(F.count("source").alias("sites"))
+    counted = docs.join(near.select("h", "first"), "h").groupBy("h", "first", "source").agg(F.lit(1).alias("one")).groupBy("h", "first").agg(F.count("source").alias("sites"))
     return sure.select("h", "first").union(counted.where(F.col("sites") >= min_sites).select("h", "first"))
 
 
