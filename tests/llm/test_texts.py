@@ -272,6 +272,19 @@ def test_block_max_search_is_exact():
         assert got[0][1] == i
 
 
+def test_toxicity_is_searched_over_all_words(spark):
+    """Words that no log-likelihood test would pick still decide which examples are near, and every text is searched."""
+    learned = [i for i in range(60) if not toxicity_held(i)][:12]
+    texts = {i: f"alpha{n} beta{n} common" for n, i in enumerate(learned)}
+    asked = {100 + n: f"beta{n} alpha{n} unseen{n}" for n in range(12)}
+    d = spark.createDataFrame([(i, t, "s") for i, t in (texts | asked).items()] + [(200, "nothing shared", "s")], DOCS)
+    labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(learned)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.scored(d, labels, k=1).collect()}
+    assert all(got[100 + n]["evidence"][0]["doc_id"] == i for n, i in enumerate(learned))
+    assert {got[100 + n]["predicted"] for n in range(0, 12, 2)} == {0} and {got[100 + n]["predicted"] for n in range(1, 12, 2)} == {1}
+    assert got[200]["evidence"] == []
+
+
 # --- mixing ------------------------------------------------------------------
 
 

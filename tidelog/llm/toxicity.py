@@ -1,17 +1,14 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-1. Terms (words, and the first `STEM` letters of longer words) whose share among toxic labelled rows
-   differs clearly from that among clean ones are picked from at most `LABELLED` labelled rows, drawn
-   by a hash of the id.
-2. Every document becomes a vector over those terms and one more, which stands for all its other
-   words; document frequencies come from all documents.
-3. The labelled rows' vectors form a block-max inverted index; each document's nearest examples are
-   found exactly, blocks in falling order of the bound on their best cosine, until no bound reaches
-   the k-th best.
+1. At most `LABELLED` labelled rows, drawn by a hash of the id, are the examples. All their terms (words,
+   and the first `STEM` letters of longer words) are the vocabulary; document frequencies come from all
+   documents.
+2. Every document becomes a unit vector over that vocabulary. A term that no example holds meets nothing
+   and is no part of it.
+3. The examples form a block-max inverted index; each document's nearest examples are found exactly:
+   scarce terms by their postings, common ones in blocks of examples, of which those are left out whose
+   bound stays below the k-th best.
 4. Votes weighted by closeness give the score; the examples are its evidence.
-
-Documents without any picked term lie at cosine 1 from all examples without one, so they share those
-examples' smoothed rate; a search meets those examples as one group.
 """
 
 from __future__ import annotations
@@ -22,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +27,11 @@ from tidelog.llm.common import written
 
 WORD = re.compile(r"\w+")
 LABELLED = 20_000  # most labelled rows that are learned from
-TERMS = 4096  # most terms picked
 NEAREST = 15
 STEM = 5
 BLOCK = 64
-VECTOR = "doc_id long, mark long, terms array<int>, counts array<int>, others long, toxic int"
+COMMON = 0.05  # share of the examples from which on a term is common
+ROWS = 128  # documents searched at once
 
 
 def words_and_stems(text: str | None) -> tuple[list[str], list[str]]:
@@ -53,145 +51,202 @@ def labelled(labels: DataFrame, most: int = LABELLED) -> DataFrame:
     return d.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def pick_terms(docs: DataFrame, rows: DataFrame, most: int = TERMS, evidence: float = 25.0, ratio: float = 2.0) -> list[str]:
-    """Terms that tell toxic from clean rows: document shares at least `ratio` apart, with a log-likelihood ratio of `evidence`.
+def vocabulary(known: DataFrame) -> pa.Array:
+    """All terms of the examples (text), sorted. known is bounded by LABELLED."""
 
-    rows is bounded by LABELLED, so it is broadcast. At 25 chance alone picks none of a million terms.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: set[str] = set()
+            for t in b.column(0):
+                for part in words_and_stems(t.as_py()):
+                    found.update(part)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["term"])
+
+    terms = known.select("text").mapInArrow(run, "term string").distinct().toArrow().column(0).combine_chunks()
+    return terms.take(pc.sort_indices(terms))
+
+
+def numbered(texts: pa.Array, terms: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The numbers of the terms in each whole text, rising, and their counts; terms outside the vocabulary are left out."""
+    for a in range(0, len(texts), 1024):
+        keys: list[str] = []
+        counts: list[int] = []
+        ends = [0]
+        for t in texts[a : a + 1024]:
+            words, stems = words_and_stems(t.as_py())
+            c = Counter(words)
+            c.update(stems)
+            keys += c
+            counts += c.values()
+            ends.append(len(keys))
+        at = pc.fill_null(pc.index_in(pa.array(keys, pa.string()), value_set=terms), -1).to_numpy(zero_copy_only=False)
+        n = np.array(counts, np.int32)
+        for i, j in zip(ends, ends[1:]):
+            here = np.flatnonzero(at[i:j] >= 0) + i
+            here = here[np.argsort(at[here])]
+            yield at[here], n[here]
+
+
+def frequencies(docs: DataFrame, terms) -> DataFrame:
+    """t (number of a term), n (documents that hold it). terms: the broadcast vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        n = np.zeros(len(terms.value), np.int64)
         for b in batches:
-            for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                words, stems = words_and_stems(t.as_py())
-                seen[y].update(set(words))
-                seen[y].update(set(stems))
-        terms = list(seen[0] | seen[1])
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[0][t] for t in terms], pa.int64()), pa.array([seen[1][t] for t in terms], pa.int64())], ["term", "clean", "toxic"])
-
-    pairs = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "toxic")
-    n = {r["toxic"]: r["n"] for r in docs.select("doc_id").join(F.broadcast(rows), "doc_id").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-    if not n0 or not n1:
-        return []
-    c = pairs.mapInArrow(run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c0"), F.sum("toxic").alias("c1")).where(F.col("c0") + F.col("c1") >= 3)
-    p0, p1, p = (F.col("c0") + 0.5) / (n0 + 1), (F.col("c1") + 0.5) / (n1 + 1), (F.col("c0") + F.col("c1")) / (n0 + n1)
-    part = lambda k, m: F.when(k > 0, k * F.log(k / m)).otherwise(0.0)
-    c = c.withColumn("g", 2 * (part(F.col("c0"), n0 * p) + part(F.col("c1"), n1 * p) + part(n0 - F.col("c0"), n0 * (1 - p)) + part(n1 - F.col("c1"), n1 * (1 - p))))
-    c = c.where(F.col("g") >= evidence).where(F.greatest(p1 / p0, p0 / p1) >= ratio)
-    return sorted(r["term"] for r in c.orderBy(F.desc("g"), "term").limit(most).collect())
-
-
-def vectors(docs: DataFrame, rows: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id, mark (a hash of the text), the numbers and counts of the terms in each whole text, its words, and toxic where the row is among rows."""
-    number = {t: i for i, t in enumerate(terms)}
+            for t, _ in numbered(b.column(0), terms.value):
+                n[t] += 1
+        t = np.flatnonzero(n)
+        for a in range(0, len(t), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(t[a : a + (1 << 16)], pa.int32()), pa.array(n[t[a : a + (1 << 16)]])], ["t", "n"])
+
+    return docs.select("text").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
+
+
+def vectors(known: DataFrame, terms) -> DataFrame:
+    """doc_id, toxic, and the numbers and counts of the terms of each example."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = number.get
         for b in batches:
-            ts, cs, others = [], [], []
-            for t in b.column(2):
-                words, stems = words_and_stems(t.as_py())
-                c = Counter(map(get, words))
-                c.update(map(get, stems))
-                c.pop(None, None)
-                ts.append(sorted(c))
-                cs.append([c[i] for i in ts[-1]])
-                others.append(len(words))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ts, pa.list_(pa.int32())), pa.array(cs, pa.list_(pa.int32())), pa.array(others, pa.int64()), b.column(3)], ["doc_id", "mark", "terms", "counts", "others", "toxic"])
+            found = list(numbered(b.column(2), terms.value))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t for t, _ in found], pa.list_(pa.int32())), pa.array([c for _, c in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").join(F.broadcast(rows), "doc_id", "left")
-    return d.select("doc_id", "mark", "text", "toxic").mapInArrow(run, VECTOR)
+    return known.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms array<int>, counts array<int>")
 
 
 class BlockMaxIndex:
-    """Unit vectors of labelled examples in postings by term, cut into blocks of examples with each term's largest weight."""
+    """Unit vectors of examples: postings of scarce terms, and the common ones in blocks of examples with each term's largest weight."""
 
-    def __init__(self, ids: list[int], toxic: list[int], terms: list[list[int]], weights: list[np.ndarray], n_terms: int):
+    def __init__(self, ids: list[int], toxic: list[int], terms: list, weights: list[np.ndarray], n_terms: int):
+        n = len(ids)
         # examples with the same leading term lie together, which keeps the bounds tight
-        order = sorted(range(len(ids)), key=lambda i: (terms[i][int(np.argmax(weights[i][:-1]))], ids[i]))
+        order = sorted(range(n), key=lambda i: (int(terms[i][int(np.argmax(weights[i]))]) if len(terms[i]) else -1, ids[i]))
         self.ids, self.toxic = np.array([ids[i] for i in order], np.int64), np.array([toxic[i] for i in order], float)
-        blocks = max(1, -(-len(order) // BLOCK))
-        self.most = np.zeros((n_terms, blocks))
-        held: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for at, i in enumerate(order):
-            for t, w in zip(terms[i], weights[i].tolist(), strict=True):
-                held[t].append((at, w))
-                self.most[t, at // BLOCK] = max(self.most[t, at // BLOCK], w)
-        self.places = [np.array([p for p, _ in h], np.int64) for h in held]
-        self.weights = [np.array([w for _, w in h]) for h in held]
-        edges = np.arange(blocks + 1) * BLOCK
-        self.cuts = [np.searchsorted(p, edges).tolist() for p in self.places]
-
-    def nearest(self, terms: list[int], weights: np.ndarray, k: int) -> list[tuple[float, int, float]]:
-        """(cosine, example id, toxic) of the k nearest examples that share a term, nearest first, ties to the smaller id."""
-        bounds = weights @ self.most[terms]
-        best: list[tuple[float, int, float]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) >= k and bounds[b] < best[-1][0] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms, weights.tolist(), strict=True):
-                a, z = self.cuts[t][b], self.cuts[t][b + 1]
-                if a < z:
-                    score[self.places[t][a:z] - b * BLOCK] += w * self.weights[t][a:z]
-            at = np.flatnonzero(score > 0)
-            if len(best) >= k:
-                at = at[score[at] >= best[-1][0]]
-            if len(at):
-                best += zip(score[at].tolist(), self.ids[at + b * BLOCK].tolist(), self.toxic[at + b * BLOCK].tolist(), strict=True)
-                best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
-
-
-def weigh(terms: list[int], counts: list[int], others: int, idf: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """Term numbers and the unit vector's weights; the last term stands for all words."""
-    w = (1 + np.log(np.array([*counts, max(others, 1)], float))) * idf[[*terms, len(idf) - 1]]
-    return [*terms, len(idf) - 1], w / np.sqrt((w * w).sum())
+        t = np.concatenate([np.asarray(terms[i], np.int32) for i in order]) if n else np.zeros(0, np.int32)
+        w = np.concatenate([np.asarray(weights[i], np.float32) for i in order]) if n else np.zeros(0, np.float32)
+        at = np.repeat(np.arange(n, dtype=np.int32), [len(terms[i]) for i in order])
+        by = np.argsort(t, kind="stable")
+        self.__setstate__((self.ids, self.toxic, at[by].astype(np.min_scalar_type(max(n, 1))), w[by], np.concatenate([[0], np.cumsum(np.bincount(t, minlength=n_terms))])))
+
+    def __getstate__(self) -> tuple:
+        """All postings by term, without the blocks, which are as large again."""
+        return self.sent
+
+    def __setstate__(self, sent: tuple) -> None:
+        self.ids, self.toxic, places, weights, starts = self.sent = sent
+        n, df = len(self.ids), np.diff(starts)
+        common = np.flatnonzero(df > COMMON * n)
+        self.column = np.full(len(df), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        blocks = max(1, -(-n // BLOCK))
+        self.head = np.zeros((blocks * BLOCK, len(common)), np.float32)
+        for c, t in enumerate(common):
+            self.head[places[starts[t] : starts[t + 1]], c] = weights[starts[t] : starts[t + 1]]
+        self.most = self.head.reshape(blocks, BLOCK, -1).max(1)
+        self.places, self.weights, self.starts = places, weights, starts
+
+    def search(self, rows: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int, float]]]:
+        """For each row (term numbers, weights): (cosine, example id, toxic) of the k nearest examples that share a term, nearest first, ties to the smaller id.
+
+        Candidates come from sums in single precision with slack; their cosines are summed in double.
+        """
+        n, slots = len(self.ids), len(self.head)
+        if not n:
+            return [[] for _ in rows]
+        q = np.zeros((len(rows), self.head.shape[1]))
+        tail = np.zeros((len(rows), slots))
+        for r, (t, w) in enumerate(rows):
+            t, w = np.asarray(t, np.int64), np.asarray(w, float)
+            c = self.column[t]
+            q[r, c[c >= 0]] = w[c >= 0]
+            t, w = t[c < 0], w[c < 0]
+            size = self.starts[t + 1] - self.starts[t]
+            if size.sum():
+                p = np.arange(size.sum()) + np.repeat(self.starts[t] - np.cumsum(size) + size, size)
+                tail[r] = np.bincount(self.places[p], np.repeat(w, size) * self.weights[p], slots)
+        single, slack, m = q.astype(np.float32), 1e-5, min(k, n)
+        # the k-th best of a few examples bounds the k-th best of all from below
+        few = np.argpartition(-tail[:, :n], m - 1, axis=1)[:, :m]
+        least = np.array([(tail[r, f] + self.head[f] @ single[r]).min() for r, f in enumerate(few)]) - slack
+        bounds = single @ self.most.T + tail.reshape(len(rows), -1, BLOCK).max(2) + slack
+        score = np.full((len(rows), slots), -np.inf, np.float32)
+        for b in range(bounds.shape[1]):
+            asks = np.flatnonzero(bounds[:, b] >= least)
+            if len(asks):
+                here = slice(b * BLOCK, (b + 1) * BLOCK)
+                score[asks, here] = single[asks] @ self.head[here].T + tail[asks, here]
+        score = score[:, :n]
+        kth = np.partition(score, n - m, axis=1)[:, n - m]
+        out = []
+        for r in range(len(rows)):
+            at = np.flatnonzero(score[r] >= kth[r] - 2 * slack)
+            exact = tail[r, at] + (self.head[at] * q[r]).sum(1)
+            at, exact = at[exact > 0], exact[exact > 0]
+            best = np.lexsort((self.ids[at], -exact))[:k]
+            out.append(list(zip(exact[best].tolist(), self.ids[at[best]].tolist(), self.toxic[at[best]].tolist(), strict=True)))
+        return out
+
+    def nearest(self, terms, weights: np.ndarray, k: int) -> list[tuple[float, int, float]]:
+        """search for one row."""
+        return self.search([(terms, weights)], k)[0]
+
+
+def weigh(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The unit vector's weights."""
+    w = (1 + np.log(counts)) * idf[terms]
+    return w / np.sqrt((w * w).sum()) if len(w) else w
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, k: int = NEAREST) -> DataFrame:
     """doc_id, mark, held_out, score, predicted and evidence (nearest examples) of every document.
 
-    Null text counts as empty; texts without a picked term share one rate. Without labelled rows of
-    both kinds nothing can be told and every score is 0. A null doc_id has no label and is not held
-    out. Repeated rows stay. labels, lang, source and doc_id are no inputs of a score.
+    Null text counts as empty; a text that shares no term with any example gets the examples' smoothed
+    rate. Without labelled rows of both kinds nothing can be told and every score is 0. A null doc_id
+    has no label and is not held out. Repeated rows stay. labels, lang, source and doc_id are no inputs
+    of a score.
     """
     spark = docs.sparkSession
     rows = written(labelled(labels), "toxicity-labelled")
-    terms = pick_terms(docs, rows)
-    d = written(vectors(docs, rows, terms), "toxicity-vectors")
-    n = d.count()
-    df = np.zeros(len(terms))
-    for r in d.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a term
-        df[r["t"]] = r["n"]
-    idf = np.append(np.log((1 + n) / (1 + df)) + 1, 1.0)
-    known = d.where("toxic is not null").select("doc_id", "terms", "counts", "others", "toxic").distinct()
-    blank = {r["toxic"]: r["n"] for r in known.where("size(terms) = 0").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    b0, b1 = blank.get(0, 0), blank.get(1, 0)
-    none = (b1 + 0.1) / (b0 + b1 + 1) if terms else 0.0
-    examples = known.where("size(terms) > 0").orderBy("doc_id", "terms", "counts", "others").collect()  # at most LABELLED, for unique ids
-    prior = (b1 + sum(r["toxic"] for r in examples) + 0.1) / (b0 + b1 + len(examples) + 1)
-    made = [weigh(r["terms"], r["counts"], r["others"], idf) for r in examples]
-    index = spark.sparkContext.broadcast((idf, BlockMaxIndex([r["doc_id"] for r in examples], [r["toxic"] for r in examples], [t for t, _ in made], [w for _, w in made], len(idf)))) if examples else None
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    known = written(d.join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id", "mark"]), "toxicity-known")  # at most LABELLED, for unique ids
+    rates = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    index = terms = None
+    prior = 0.0
+    if rates.get(0, 0) and rates.get(1, 0):
+        prior = (rates[1] + 0.1) / (rates[0] + rates[1] + 1)
+        terms = spark.sparkContext.broadcast(vocabulary(known))
+        df = np.zeros(len(terms.value))
+        found = frequencies(d, terms).toArrow()
+        df[found.column("t").to_numpy()] = found.column("n").to_numpy()
+        idf = np.log((1 + d.count()) / (1 + df)) + 1
+        examples = vectors(known, terms).toArrow()
+        lists = lambda c: np.split((v := examples.column(c).combine_chunks()).flatten().to_numpy(), np.cumsum(pc.list_value_length(v).to_numpy())[:-1])
+        ts = lists("terms")
+        ws = [weigh(t, c, idf).astype(np.float32) for t, c in zip(ts, lists("counts"), strict=True)]
+        ids, toxic = examples.column("doc_id").to_pylist(), examples.column("toxic").to_pylist()
+        del examples
+        index = spark.sparkContext.broadcast((idf, BlockMaxIndex(ids, toxic, ts, ws, len(idf))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for b in batches:
             scores, evidence = [], []
-            for ts, cs, n in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                if not ts or index is None:
-                    scores.append(prior if ts else none)
-                    evidence.append([])
-                    continue
-                idf, ix = index.value
-                ts, w = weigh(ts, cs, n, idf)
-                found = ix.nearest(ts, w, k)
-                near = [(c, y) for c, _, y in found if c > w[-1]]
-                near += [(float(w[-1]), none)] * min(k - len(near), b0 + b1)  # examples without a term, all at one cosine
-                votes = np.array([1 / (1.05 - min(c, 1.0)) for c, _ in near])
-                scores.append(float((votes @ [y for _, y in near] + prior) / (votes.sum() + 1)))
-                evidence.append([{"doc_id": i, "cosine": c, "toxic": int(y)} for c, i, y in found[:3] if c > w[-1]])
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def search() -> None:
+                for near in index.value[1].search(held, k):
+                    votes = np.array([1 / (1.05 - min(c, 1.0)) for c, _, _ in near])
+                    scores.append(float((votes @ np.array([y for _, _, y in near]) + prior) / (votes.sum() + 1)))
+                    evidence.append([{"doc_id": i, "cosine": c, "toxic": int(y)} for c, i, y in near[:3]])
+                held.clear()
+
+            if index is None:
+                scores, evidence = [prior] * b.num_rows, [[]] * b.num_rows
+            else:
+                for t, c in numbered(b.column(2), terms.value):
+                    held.append((t, weigh(t, c, index.value[0])))
+                    if len(held) == ROWS:
+                        search()
+                search()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["doc_id", "mark", "score", "evidence"])
 
     s = d.mapInArrow(run, "doc_id long, mark long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
