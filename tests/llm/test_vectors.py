@@ -49,6 +49,27 @@ def test_embedding_near_duplicates(spark, monkeypatch, shard):
     assert graphs.audit(graphs.near_duplicates(d), d) == 1.0
 
 
+def test_a_hub_keeps_copies_that_are_out_of_each_others_range(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "SHARD", 256)  # several blocks
+    rng = np.random.default_rng(3)
+    d = 256
+    x = rng.normal(size=(800, d))
+    x[:601, 0] = 0
+    x[:601] *= np.sqrt(1 - 0.985**2) / np.sqrt((x[:601] ** 2).sum(1))[:, None]
+    x[:601, 0] = 0.985
+    x[0] = np.eye(d)[0]
+    x = x.astype(np.float32)
+    n, comp = plain_links(range(800), x, np.zeros(800))
+    assert n[0] == 600 and (n[1:601] == 1).all()
+    u = graphs._unit(x.astype(float))
+    g = graphs.build(u)
+    wide = max(map(len, g))
+    adjacency = np.array([a + [i] * (wide - len(a)) for i, a in enumerate(g)])
+    assert graphs.range_search(u, adjacency, u[:1], 0.98).sum() == 601
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in graphs.near_duplicates(table(spark, x, np.zeros(800))).collect()}
+    assert got == {i: (int(n[i]), int(comp[i])) for i in range(800)}
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert graphs.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
     d = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (2, [2.0, 0.0], 1)], VECTORS)

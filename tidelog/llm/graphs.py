@@ -6,7 +6,7 @@
 2. A graph is built on each block: candidates pruned robustly, so that each node keeps neighbours in
    all directions, and back edges added. A node's adjacency lists from all its shards are united.
 3. In every pair of blocks of a shard, the nodes of one search the graph of the other: a greedy beam
-   from the medoids, then, from every hit, on through all neighbours in range. A hit counts if its
+   from the medoids; one with any hit is then compared with the whole block. A hit counts if its
    cosine in double precision reaches the threshold, and pairs inside a connected set so found are
    checked too. Nodes that share several shards are counted in the
    first of them. A block answers with counts and a star for each connected set, not with pairs.
@@ -36,7 +36,6 @@ SHARD = 2048  # nodes of a block at most, in the mean of its hash
 DEGREE = 24
 POOL = 64  # candidates that a node's neighbours are pruned from
 BEAM = 48
-MANY = 64  # hits from which on a query's set is completed by links instead of by walking
 STEP = 6  # expansions of a query in a round
 ALPHA = 1.2
 MEDOIDS = 8
@@ -103,10 +102,9 @@ def medoids(x: np.ndarray) -> np.ndarray:
 def range_search(x: np.ndarray, adjacency: np.ndarray, q: np.ndarray, cosine: float) -> np.ndarray:
     """Boolean queries x members: the members at `cosine` or more that the search meets.
 
-    A greedy beam of BEAM members runs from the medoids until all of it is expanded; then every hit
-    that is not yet expanded is, and every hit so found, for as long as a query has MANY hits or fewer:
-    larger sets are completed from the graph's own links (see _roots and _complete). All queries advance together, STEP expansions
-    a round. The walk is in single precision with a little slack; hits are verified in double.
+    A greedy beam of BEAM members runs from the medoids until all of it is expanded; then a query with
+    any hit is compared with all members, as hits need not be in range, or neighbours, of each other.
+    All queries advance together, STEP expansions a round. The walk is in single precision with a little slack; hits are verified in double.
     adjacency: members x width, rows padded with the member itself.
     """
     n, all_q = len(x), np.arange(len(q))
@@ -150,15 +148,8 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, q: np.ndarray, cosine: fl
             ids, score = wider, lower
         ids[rows[:, None], np.arange(keep)] = np.take_along_axis(both, best, 1)
         score[rows[:, None], np.arange(keep)] = np.take_along_axis(scores, best, 1)
-    rows = all_q
-    while len(rows):
-        open_ = hits[rows] & ~expanded[rows]
-        more = open_.any(1) & (hits[rows].sum(1) <= MANY)
-        rows, open_ = rows[more], open_[more]
-        if not len(rows):
-            break
-        k = min(STEP, n)
-        meet(rows, np.argpartition(~open_, k - 1, axis=1)[:, :k])
+    some = np.flatnonzero(hits.any(1))
+    hits[some] = qs[some] @ xs.T >= near
     r, c = np.nonzero(hits)
     for a in range(0, len(r), 1 << 18):
         i, j = r[a : a + (1 << 18)], c[a : a + (1 << 18)]
