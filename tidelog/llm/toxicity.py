@@ -1,19 +1,22 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-1. At most `LABELLED` labelled rows, drawn by a hash of the id, are the examples. All their terms (words,
-   and the first `STEM` letters of longer words) are the vocabulary; document frequencies come from all
-   documents.
-2. Every document becomes a unit vector over that vocabulary. A term that no example holds meets nothing
-   and is no part of it.
+1. At most `LABELLED` labelled rows, drawn by a hash of the id, are the examples; equal texts are one
+   example with the mean of their labels. A text's vector has all its words: those of the examples by
+   name, any other by one of `OTHER` hash buckets. Document frequencies come from all documents.
+2. A word weighs (1 + ln tf) * idf * relevance. The relevance is `FLOOR` plus the lower confidence limit of
+   the word's log odds ratio between toxic and clean examples. Plain TF-IDF ranks examples by topic and
+   language and finds hardly half of the toxic rows; no word is left out by either.
 3. The examples form a block-max inverted index; each document's nearest examples are found exactly:
-   scarce terms by their postings, common ones in blocks of examples, of which those are left out whose
-   bound stays below the k-th best.
-4. Votes weighted by closeness give the score; the examples are its evidence.
+   scarce words by their postings, common ones in blocks of examples, of which those are left out whose
+   bound stays below the k-th best. An example with the document's own text never votes.
+4. Votes weighted by cosine, examples that tie at the last place sharing what is left of it, are
+   calibrated by a logistic curve, fitted on the examples' own votes without themselves.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,18 +29,17 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import written
 
 WORD = re.compile(r"\w+")
-LABELLED = 20_000  # most labelled rows that are learned from
+LABELLED = 8192  # most labelled rows that are learned from
+OTHER = 1 << 16  # buckets of words that no example holds
+FLOOR = 0.05  # relevance of a word that says nothing
+CONFIDENCE = 1.96  # standard errors taken off a log odds ratio
 NEAREST = 15
-STEM = 5
 BLOCK = 64
-COMMON = 0.05  # share of the examples from which on a term is common
+COMMON = 0.05  # share of the examples from which on a word is common
 ROWS = 128  # documents searched at once
-
-
-def words_and_stems(text: str | None) -> tuple[list[str], list[str]]:
-    """The words of a text in lower case, and the stems, marked by a star, of those longer than STEM."""
-    words = WORD.findall((text or "").lower())
-    return words, [w[:STEM] + "*" for w in words if len(w) > STEM]
+SLICE = 4096  # document frequencies in a row
+HELD = 10.0  # examples that the uncalibrated shares are worth in the calibration
+TIE = 1e-9  # cosines this near count as equal
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -46,93 +48,141 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def labelled(labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    """At most `most` labelled rows outside the held-out fold: doc_id, toxic. Ids with several labels count by the largest."""
-    d = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    """At most `most` labelled rows outside the held-out fold: doc_id, toxic. Labels other than 0 and 1 are none; ids with both count as 1."""
+    d = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     return d.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def examples_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id (the smallest), mark, text and toxic (mean) of each text of the labelled rows; a repeated id counts by its text of the smallest mark.
+
+    docs: doc_id, mark, text. rows is bounded by LABELLED, and so is the result.
+    """
+    d = docs.join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(F.min(F.struct("mark", "text")).alias("t"), F.max("toxic").alias("toxic"))
+    return d.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.avg("toxic").alias("toxic")).select("doc_id", "t.mark", "t.text", "toxic")
+
+
+class Vocabulary:
+    """Numbers of words: the examples' words in order, then the buckets."""
+
+    def __init__(self, words: pa.Array):
+        self.__setstate__(words)
+
+    def __getstate__(self) -> pa.Array:
+        return self.words
+
+    def __setstate__(self, words: pa.Array) -> None:
+        self.words = words
+        self.number = {w: i for i, w in enumerate(words.to_pylist())}
+
+    def __len__(self) -> int:
+        return len(self.number) + OTHER
+
+    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words of a text, rising, and how often each is there."""
+        found: dict[int, int] = {}
+        known, named = self.number.get, len(self.number)
+        for w, n in Counter(WORD.findall((text or "").lower())).items():
+            i = known(w)
+            if i is None:
+                i = named + zlib.crc32(w.encode(errors="surrogatepass")) % OTHER
+                n += found.get(i, 0)
+            found[i] = n
+        t, n = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+        order = np.argsort(t)
+        return t[order], n[order]
+
+
 def vocabulary(known: DataFrame) -> pa.Array:
-    """All terms of the examples (text), sorted. known is bounded by LABELLED."""
+    """All words of the examples (text), sorted. known is bounded by LABELLED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: set[str] = set()
             for t in b.column(0):
-                for part in words_and_stems(t.as_py()):
-                    found.update(part)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["term"])
-
-    terms = known.select("text").mapInArrow(run, "term string").distinct().toArrow().column(0).combine_chunks()
-    return terms.take(pc.sort_indices(terms))
-
-
-def numbered(texts: pa.Array, terms: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The numbers of the terms in each whole text, rising, and their counts; terms outside the vocabulary are left out."""
-    for a in range(0, len(texts), 1024):
-        keys: list[str] = []
-        counts: list[int] = []
-        ends = [0]
-        for t in texts[a : a + 1024]:
-            words, stems = words_and_stems(t.as_py())
-            c = Counter(words)
-            c.update(stems)
-            keys += c
-            counts += c.values()
-            ends.append(len(keys))
-        at = pc.fill_null(pc.index_in(pa.array(keys, pa.string()), value_set=terms), -1).to_numpy(zero_copy_only=False)
-        n = np.array(counts, np.int32)
-        for i, j in zip(ends, ends[1:]):
-            here = np.flatnonzero(at[i:j] >= 0) + i
-            here = here[np.argsort(at[here])]
-            yield at[here], n[here]
-
-
-def frequencies(docs: DataFrame, terms) -> DataFrame:
-    """t (number of a term), n (documents that hold it). terms: the broadcast vocabulary."""
+                found.update(WORD.findall((t.as_py() or "").lower()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["word"])
+
+    words = known.select("text").mapInArrow(run, "word string").distinct().toArrow().column(0).combine_chunks()
+    return words.take(pc.sort_indices(words))
+
+
+def frequencies(docs: DataFrame, words) -> np.ndarray:
+    """Documents that hold each word. words: the broadcast vocabulary, whose size bounds what a task sends: one row for each SLICE of it."""
+    size = len(words.value)
+    slices = -(-size // SLICE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(terms.value), np.int64)
+        n = np.zeros(slices * SLICE, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                n[words.value.count(t.as_py())[0]] += 1
+        some = np.flatnonzero(n.reshape(slices, SLICE).any(1))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([n[s * SLICE : (s + 1) * SLICE].astype("<i8").tobytes() for s in some], pa.binary())], ["slice", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            for t, _ in numbered(b.column(0), terms.value):
-                n[t] += 1
-        t = np.flatnonzero(n)
-        for a in range(0, len(t), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(t[a : a + (1 << 16)], pa.int32()), pa.array(n[t[a : a + (1 << 16)]])], ["t", "n"])
+            for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[s] = total.get(s, 0) + np.frombuffer(n, "<i8")
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([n.tobytes() for n in total.values()], pa.binary())], ["slice", "n"])
 
-    return docs.select("text").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    parts = docs.select("text").mapInArrow(run, "slice int, n binary").repartition("slice").mapInArrow(add, "slice int, n binary")
+    out = np.zeros(slices * SLICE, np.int64)
+    for r in parts.collect():  # as many rows as slices
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["n"], "<i8")
+    return out[:size]
 
 
-def vectors(known: DataFrame, terms) -> DataFrame:
-    """doc_id, toxic, and the numbers and counts of the terms of each example."""
+def vectors(known: DataFrame, words) -> DataFrame:
+    """doc_id, mark, toxic, and the numbers and counts of the words of each example."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = list(numbered(b.column(2), terms.value))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t for t, _ in found], pa.list_(pa.int32())), pa.array([c for _, c in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
+            found = [words.value.count(t.as_py()) for t in b.column(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([t for t, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.int64()))], ["doc_id", "mark", "toxic", "words", "counts"])
+
+    return known.select("doc_id", "mark", "toxic", "text").mapInArrow(run, "doc_id long, mark long, toxic double, words array<long>, counts array<long>")
+
 
-    return known.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms array<int>, counts array<int>")
+def relevance(words: list[np.ndarray], toxic: np.ndarray, size: int) -> np.ndarray:
+    """FLOOR plus the lower confidence limit of each word's absolute log odds ratio between toxic and clean examples."""
+    a, b = np.full(size, 0.5), np.full(size, 0.5)
+    for t, y in zip(words, toxic, strict=True):
+        a[t] += y
+        b[t] += 1 - y
+    c, d = toxic.sum() + 1 - a, (1 - toxic).sum() + 1 - b
+    return FLOOR + np.maximum(np.abs(np.log(a * d / (b * c))) - CONFIDENCE * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d), 0)
+
+
+def weigh(words: np.ndarray, counts: np.ndarray, worth: np.ndarray) -> np.ndarray:
+    """The unit vector's weights; worth is idf times relevance."""
+    w = (1 + np.log(counts)) * worth[words]
+    return w / np.sqrt((w * w).sum()) if len(w) else w
 
 
 class BlockMaxIndex:
     """Unit vectors of examples: postings of scarce terms, and the common ones in blocks of examples with each term's largest weight."""
 
-    def __init__(self, ids: list[int], toxic: list[int], terms: list, weights: list[np.ndarray], n_terms: int):
+    def __init__(self, ids: list[int], marks: list[int], toxic: list[float], terms: list, weights: list[np.ndarray], n_terms: int):
         n = len(ids)
         # examples with the same leading term lie together, which keeps the bounds tight
         order = sorted(range(n), key=lambda i: (int(terms[i][int(np.argmax(weights[i]))]) if len(terms[i]) else -1, ids[i]))
-        self.ids, self.toxic = np.array([ids[i] for i in order], np.int64), np.array([toxic[i] for i in order], float)
-        t = np.concatenate([np.asarray(terms[i], np.int32) for i in order]) if n else np.zeros(0, np.int32)
+        t = np.concatenate([np.asarray(terms[i], np.int64) for i in order]) if n else np.zeros(0, np.int64)
         w = np.concatenate([np.asarray(weights[i], np.float32) for i in order]) if n else np.zeros(0, np.float32)
         at = np.repeat(np.arange(n, dtype=np.int32), [len(terms[i]) for i in order])
         by = np.argsort(t, kind="stable")
-        self.__setstate__((self.ids, self.toxic, at[by].astype(np.min_scalar_type(max(n, 1))), w[by], np.concatenate([[0], np.cumsum(np.bincount(t, minlength=n_terms))])))
+        ids, marks, toxic = (np.array([v[i] for i in order], kind) for v, kind in ((ids, np.int64), (marks, np.int64), (toxic, float)))
+        self.__setstate__((ids, marks, toxic, at[by].astype(np.min_scalar_type(max(n, 1))), w[by], np.concatenate([[0], np.cumsum(np.bincount(t, minlength=n_terms))])))
 
     def __getstate__(self) -> tuple:
         """All postings by term, without the blocks, which are as large again."""
         return self.sent
 
     def __setstate__(self, sent: tuple) -> None:
-        self.ids, self.toxic, places, weights, starts = self.sent = sent
+        self.ids, self.marks, self.toxic, places, weights, starts = self.sent = sent
         n, df = len(self.ids), np.diff(starts)
         common = np.flatnonzero(df > COMMON * n)
         self.column = np.full(len(df), -1, np.int32)
@@ -143,19 +193,21 @@ class BlockMaxIndex:
             self.head[places[starts[t] : starts[t + 1]], c] = weights[starts[t] : starts[t + 1]]
         self.most = self.head.reshape(blocks, BLOCK, -1).max(1)
         self.places, self.weights, self.starts = places, weights, starts
+        self.place = {m: p for p, m in enumerate(self.marks.tolist())}
 
-    def search(self, rows: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int, float]]]:
-        """For each row (term numbers, weights): (cosine, example id, toxic) of the k nearest examples that share a term, nearest first, ties to the smaller id.
+    def search(self, rows: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each row (term numbers, weights): cosines and places of its k nearest examples that share a term, nearest first, ties by id.
 
+        Examples that tie with the k-th all come. but: the mark of the text that a row must not meet.
         Candidates come from sums in single precision with slack; their cosines are summed in double.
         """
         n, slots = len(self.ids), len(self.head)
         if not n:
-            return [[] for _ in rows]
-        q = np.zeros((len(rows), self.head.shape[1]))
+            return [(np.zeros(0), np.zeros(0, np.int64)) for _ in rows]
+        single, slack = np.zeros((len(rows), self.head.shape[1]), np.float32), 1e-5
+        q = np.zeros(single.shape)
         tail = np.zeros((len(rows), slots))
         for r, (t, w) in enumerate(rows):
-            t, w = np.asarray(t, np.int64), np.asarray(w, float)
             c = self.column[t]
             q[r, c[c >= 0]] = w[c >= 0]
             t, w = t[c < 0], w[c < 0]
@@ -163,10 +215,14 @@ class BlockMaxIndex:
             if size.sum():
                 p = np.arange(size.sum()) + np.repeat(self.starts[t] - np.cumsum(size) + size, size)
                 tail[r] = np.bincount(self.places[p], np.repeat(w, size) * self.weights[p], slots)
-        single, slack, m = q.astype(np.float32), 1e-5, min(k, n)
+            if but is not None and (own := self.place.get(but[r])) is not None:
+                tail[r, own] = -9.0
+        single[:] = q
         # the k-th best of a few examples bounds the k-th best of all from below
-        few = np.argpartition(-tail[:, :n], m - 1, axis=1)[:, :m]
-        least = np.array([(tail[r, f] + self.head[f] @ single[r]).min() for r, f in enumerate(few)]) - slack
+        least = np.full(len(rows), -np.inf)
+        if n > k:
+            few = np.argpartition(-tail[:, :n], k - 1, axis=1)[:, :k]
+            least = np.array([(tail[r, f] + self.head[f] @ single[r]).min() for r, f in enumerate(few)]) - slack
         bounds = single @ self.most.T + tail.reshape(len(rows), -1, BLOCK).max(2) + slack
         score = np.full((len(rows), slots), -np.inf, np.float32)
         for b in range(bounds.shape[1]):
@@ -175,79 +231,101 @@ class BlockMaxIndex:
                 here = slice(b * BLOCK, (b + 1) * BLOCK)
                 score[asks, here] = single[asks] @ self.head[here].T + tail[asks, here]
         score = score[:, :n]
-        kth = np.partition(score, n - m, axis=1)[:, n - m]
+        kth = np.partition(score, n - min(k, n), axis=1)[:, n - min(k, n)] - 2 * slack
         out = []
         for r in range(len(rows)):
-            at = np.flatnonzero(score[r] >= kth[r] - 2 * slack)
+            at = np.flatnonzero(score[r] >= kth[r])
             exact = tail[r, at] + (self.head[at] * q[r]).sum(1)
             at, exact = at[exact > 0], exact[exact > 0]
-            best = np.lexsort((self.ids[at], -exact))[:k]
-            out.append(list(zip(exact[best].tolist(), self.ids[at[best]].tolist(), self.toxic[at[best]].tolist(), strict=True)))
+            order = np.lexsort((self.ids[at], -exact))
+            at, exact = at[order], exact[order]
+            keep = int((exact >= exact[k - 1] - TIE).sum()) if len(exact) > k else len(exact)
+            out.append((exact[:keep], at[:keep]))
         return out
 
-    def nearest(self, terms, weights: np.ndarray, k: int) -> list[tuple[float, int, float]]:
-        """search for one row."""
-        return self.search([(terms, weights)], k)[0]
 
+def vote(cosines: np.ndarray, toxic: np.ndarray, k: int, prior: float) -> float:
+    """Share of toxic among the votes, each as heavy as its cosine, and one vote of the prior. Those that tie at the k-th place share what is left of it."""
+    w = cosines
+    if len(w) > k:
+        tied = w <= w[k - 1] + TIE
+        w = np.where(tied, w * (k - (~tied).sum()) / tied.sum(), w)
+    return float((w @ toxic + prior) / (w.sum() + 1))
+
+
+def calibration(raw: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """Slope, 0 at least, and offset of the logistic curve over the log odds of raw shares that fits toxic best; few examples leave the shares as they are."""
+    m, start = np.stack([np.log(raw / (1 - raw)), np.ones(len(raw))], 1), np.array([1.0, 0.0])
+    at = start
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(m @ at, -30, 30)))
+        at = at + np.clip(np.linalg.solve((m * (p * (1 - p))[:, None]).T @ m + HELD * np.eye(2), m.T @ (toxic - p) - HELD * (at - start)), -2, 2)
+    return max(float(at[0]), 0.0), float(at[1])
 
-def weigh(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """The unit vector's weights."""
-    w = (1 + np.log(counts)) * idf[terms]
-    return w / np.sqrt((w * w).sum()) if len(w) else w
+
+def learn(d: DataFrame, labels: DataFrame, k: int):
+    """What the scores need, as a broadcast: vocabulary, worth of its words, index, prior and calibration. None without examples of both kinds.
+
+    d: doc_id, mark, text. At most LABELLED examples with their words come to the driver and go to the executors.
+    """
+    spark = d.sparkSession
+    rows = written(labelled(labels), "toxicity-labelled")
+    known = written(examples_of(d, rows), "toxicity-known")
+    n, total = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    if not n or not 0 < total < n:
+        return None
+    words = spark.sparkContext.broadcast(Vocabulary(vocabulary(known)))
+    idf = np.log((1 + d.count()) / (1 + frequencies(d, words))) + 1
+    found = vectors(known, words).toArrow()
+    lists = lambda c: np.split((v := found.column(c).combine_chunks()).flatten().to_numpy(), np.cumsum(pc.list_value_length(v).to_numpy())[:-1])
+    ids, marks, toxic = (found.column(c).to_pylist() for c in ("doc_id", "mark", "toxic"))
+    ts, cs = lists("words"), lists("counts")
+    worth = idf * relevance(ts, np.array(toxic), len(idf))
+    ws = [weigh(t, c, worth) for t, c in zip(ts, cs, strict=True)]
+    prior = (total + 0.1) / (n + 1)
+    index = spark.sparkContext.broadcast((words.value, worth, BlockMaxIndex(ids, marks, toxic, ts, ws, len(idf)), prior))
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shares = [s for s, _ in shares_of(index.value, b.column(1), b.column(0), k)]
+            yield pa.RecordBatch.from_arrays([pa.array(shares, pa.float64()), b.column(2)], ["share", "toxic"])
+
+    votes = known.select("mark", "text", "toxic").mapInArrow(alone, "share double, toxic double").toArrow()
+    return index, calibration(votes.column(0).to_numpy(), votes.column(1).to_numpy())
+
+
+def shares_of(known, texts: pa.Array, marks: pa.Array, k: int) -> Iterator[tuple[float, list[dict]]]:
+    """The share of toxic votes of each whole text, and its three nearest examples."""
+    words, worth, index, prior = known
+    for a in range(0, len(texts), ROWS):
+        rows = [(t, weigh(t, c, worth)) for t, c in (words.count(x.as_py()) for x in texts[a : a + ROWS])]
+        for cosines, at in index.search(rows, k, marks[a : a + ROWS].to_pylist()):
+            near = zip(index.ids[at[:3]].tolist(), cosines[:3].tolist(), index.toxic[at[:3]].tolist(), strict=True)
+            yield vote(cosines, index.toxic[at], k, prior), [{"doc_id": i, "cosine": c, "toxic": y} for i, c, y in near]
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, k: int = NEAREST) -> DataFrame:
     """doc_id, mark, held_out, score, predicted and evidence (nearest examples) of every document.
 
-    Null text counts as empty; a text that shares no term with any example gets the examples' smoothed
-    rate. Without labelled rows of both kinds nothing can be told and every score is 0. A null doc_id
-    has no label and is not held out. Repeated rows stay. labels, lang, source and doc_id are no inputs
-    of a score.
+    Null text counts as empty; a text that shares no word with any example gets the calibrated prior.
+    Without labelled rows of both kinds nothing can be told and every score is 0. A null doc_id
+    has no label and is not held out. Repeated rows stay, and equal texts have equal scores: labels, lang,
+    source and doc_id are no inputs of a score, and examples of the same text (by a 64-bit hash) don't
+    vote for it. Labels other than 0 and 1 count as none. Other columns play no part.
     """
-    spark = docs.sparkSession
-    rows = written(labelled(labels), "toxicity-labelled")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    known = written(d.join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id", "mark"]), "toxicity-known")  # at most LABELLED, for unique ids
-    rates = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    index = terms = None
-    prior = 0.0
-    if rates.get(0, 0) and rates.get(1, 0):
-        prior = (rates[1] + 0.1) / (rates[0] + rates[1] + 1)
-        terms = spark.sparkContext.broadcast(vocabulary(known))
-        df = np.zeros(len(terms.value))
-        found = frequencies(d, terms).toArrow()
-        df[found.column("t").to_numpy()] = found.column("n").to_numpy()
-        idf = np.log((1 + d.count()) / (1 + df)) + 1
-        examples = vectors(known, terms).toArrow()
-        lists = lambda c: np.split((v := examples.column(c).combine_chunks()).flatten().to_numpy(), np.cumsum(pc.list_value_length(v).to_numpy())[:-1])
-        ts = lists("terms")
-        ws = [weigh(t, c, idf).astype(np.float32) for t, c in zip(ts, lists("counts"), strict=True)]
-        ids, toxic = examples.column("doc_id").to_pylist(), examples.column("toxic").to_pylist()
-        del examples
-        index = spark.sparkContext.broadcast((idf, BlockMaxIndex(ids, toxic, ts, ws, len(idf))))
+    learned = learn(d, labels, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.float64())]))
         for b in batches:
-            scores, evidence = [], []
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def search() -> None:
-                for near in index.value[1].search(held, k):
-                    votes = np.array([1 / (1.05 - min(c, 1.0)) for c, _, _ in near])
-                    scores.append(float((votes @ np.array([y for _, _, y in near]) + prior) / (votes.sum() + 1)))
-                    evidence.append([{"doc_id": i, "cosine": c, "toxic": int(y)} for c, i, y in near[:3]])
-                held.clear()
-
-            if index is None:
-                scores, evidence = [prior] * b.num_rows, [[]] * b.num_rows
-            else:
-                for t, c in numbered(b.column(2), terms.value):
-                    held.append((t, weigh(t, c, index.value[0])))
-                    if len(held) == ROWS:
-                        search()
-                search()
+            scores, evidence = [0.0] * b.num_rows, [[]] * b.num_rows
+            if learned is not None:
+                index, (slope, offset) = learned
+                shares, evidence = zip(*shares_of(index.value, b.column(2), b.column(1), k), strict=True)
+                raw = np.array(shares)
+                scores = 1 / (1 + np.exp(-(slope * np.log(raw / (1 - raw)) + offset)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["doc_id", "mark", "score", "evidence"])
 
-    s = d.mapInArrow(run, "doc_id long, mark long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
+    s = d.mapInArrow(run, "doc_id long, mark long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: double>>")
     return s.select("doc_id", "mark", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
