@@ -264,12 +264,91 @@ def test_block_max_search_is_exact():
     full = np.zeros((n, v + 1))
     for i, (t, w) in enumerate(zip(terms, weights, strict=True)):
         full[i, t] = w
-    ix = toxicity.BlockMaxIndex(list(range(n)), [0] * n, terms, weights, v + 1)
+    ix = toxicity.BlockMaxIndex(list(range(n)), list(range(n)), [0] * n, terms, weights, v + 1)
     for i in range(0, n, 13):
         want = sorted(((-float(s), j) for j, s in enumerate(full @ full[i])))[:15]
-        got = ix.nearest(terms[i], weights[i], 15)
-        assert np.allclose([s for s, _, _ in got], [-s for s, _ in want])
-        assert got[0][1] == i
+        got, at = ix.search([(terms[i], weights[i])], 15)[0]
+        assert np.allclose(got, [-s for s, _ in want])
+        assert ix.ids[at[0]] == i
+        assert i not in ix.ids[ix.search([(terms[i], weights[i])], 15, [i])[0][1]]
+
+
+def plain_scores(docs_, labels, k=15):
+    """scored() by plain loops: texts (id, text), labels (id, toxic); score by text."""
+    import math
+    import re
+    from collections import Counter
+
+    named = {i: max(t for j, t in labels if j == i and t in (0, 1)) for i, t in labels if i is not None and t in (0, 1) and not toxicity_held(i)}
+    by_id = {}
+    for i, t in docs_:
+        if i in named:
+            by_id.setdefault(i, []).append(t)
+    assert all(len(set(t)) == 1 for t in by_id.values())
+    by_text = {}
+    for i, t in by_id.items():
+        by_text.setdefault(t[0], []).append(named[i])
+    ex = [(t, sum(y) / len(y)) for t, y in by_text.items()]
+    vocabulary = {w for t, _ in ex for w in re.findall(r"\w+", (t or "").lower())}
+    name = lambda w: w if w in vocabulary else zlib.crc32(w.encode()) % toxicity.OTHER
+    bag = lambda t: Counter(name(w) for w in re.findall(r"\w+", (t or "").lower()))
+    df = Counter(w for _, t in docs_ for w in bag(t))
+    total, toxic = len(ex), sum(y for _, y in ex)
+
+    def worth(w):
+        a = 0.5 + sum(y for t, y in ex if w in bag(t))
+        b = 0.5 + sum(1 - y for t, y in ex if w in bag(t))
+        c, d = toxic + 1 - a, total - toxic + 1 - b
+        r = toxicity.FLOOR + max(0, abs(math.log(a * d / b / c)) - 1.96 * math.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
+        return (math.log((1 + len(docs_)) / (1 + df[w])) + 1) * r
+
+    memo = {}
+
+    def vector(t):
+        v = {w: (1 + math.log(n)) * (memo[w] if w in memo else memo.setdefault(w, worth(w))) for w, n in bag(t).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    vs = [(t, y, vector(t)) for t, y in ex]
+
+    def share(t):
+        v = vector(t)
+        near = sorted(((sum(x * u.get(w, 0) for w, x in v.items()), y) for t2, y, u in vs if t2 != t), reverse=True)
+        near = [(c, y) for c, y in near if c > 1e-12]
+        votes, seats = [], k
+        while near and seats > 0:
+            tied = [x for x in near if x[0] >= near[0][0] - 1e-9]
+            votes += [(c * min(1, seats / len(tied)), y) for c, y in tied]
+            seats, near = seats - len(tied), near[len(tied) :]
+        prior = (toxic + 0.1) / (total + 1)
+        return (sum(c * y for c, y in votes) + prior) / (sum(c for c, _ in votes) + 1)
+
+    slope, offset = toxicity.calibration(np.array([share(t) for t, _ in ex]), np.array([y for _, y in ex]))
+    return {t: 1 / (1 + math.exp(-(slope * math.log((p := share(t)) / (1 - p)) + offset))) for t in {t for _, t in docs_}}
+
+
+def test_toxicity_is_the_plain_nearest_neighbour_vote(spark):
+    """Every score of a whole table, with repeats, ties, nulls, empties, unknown words, a long text and labels other than 0 and 1."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 12)) + ["slime"] * (i % 5 == 0)) for i in range(130)]
+    texts += texts[:20] + [" ".join(reversed(t.split())) for t in texts[20:40]] + [None, "", "never seen words", " ".join(rng.choices(words, k=30000))]
+    d = docs(spark, texts)
+    labels = [(i, int(i % 5 == 0) if i < 130 else int(rng.random() < 0.3)) for i in range(0, 170, 1) if i % 7] + [(1, 2), (3, None), (None, 1), (5, 0), (171, 0), (999, 1)]
+    got = toxicity.scored(d.union(d.where("doc_id < 5")), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert len(got) == len(texts) + 5
+    want = plain_scores([(i, t) for i, t in enumerate(texts)] + [(i, t) for i, t in enumerate(texts[:5])], labels)
+    assert all(abs(r["score"] - want[texts[r["doc_id"]]]) < 1e-6 and r["predicted"] == (r["score"] >= 0.3) for r in got)
+
+
+def test_no_own_label_in_a_score(spark):
+    """Flipping a row's own label, or its copies', leaves the vote as it was: only the fit of all examples moves a little."""
+    d, labels = toxic_corpus(spark)
+    clean = next(i for i in range(1, 600) if i % 6 and not toxicity_held(i))
+    one = lambda l: next(r for r in toxicity.scored(d, l).collect() if r["doc_id"] == clean)
+    a, b = one(labels), one(labels.selectExpr("doc_id", f"IF(doc_id = {clean}, 1, toxic) AS toxic"))
+    assert abs(a["score"] - b["score"]) < 0.02
+    assert all(e["doc_id"] != clean for r in (a, b) for e in r["evidence"])
 
 
 def test_toxicity_is_searched_over_all_words(spark):
@@ -409,6 +488,109 @@ def test_main_text(html, text):
     assert extract.main_text(html) == text
 
 
+ARTICLE = "<p>First of three paragraphs in the story.</p><p>The second one has more to say than that.</p><p>And the third ends it.</p>"
+STORY = "First of three paragraphs in the story.\nThe second one has more to say than that.\nAnd the third ends it."
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="content with-sidebar">{ARTICLE}</div>', f'<body class="has-nav"><div class="has-nav">{ARTICLE}</div>', f'<div class="page menu-open"><article>{ARTICLE}</article></div>',
+    f'<div class="post-share story">{ARTICLE}</div>', f'<div class="entry hidden-print">{ARTICLE}</div>', f'<div id="search-results-story">{ARTICLE}</div>',
+    f'<form id="aspnetForm"><div class="nav"><a href=/>Home</a></div><div>{ARTICLE}</div><input></form>', f'<div class="sidebar"><main>{ARTICLE}</main></div>',
+    f'<div class="content sidebar">{ARTICLE}</div><p>x</p>', f'<div class="popup">{ARTICLE}</div>', f'<div hidden class=page><article>{ARTICLE}</article></div>',
+    f'<div class="story">{ARTICLE}<div class="comments"><p>{"A reader says a lot. " * 40}</p></div></div>',
+    f'<article>{ARTICLE}</article><section class="comments"><article class="comment"><p>{"A reader says a lot. " * 40}</p></article></section>',
+    f'<div class="story">{ARTICLE}<div class="share-links"><a href=/>Share</a></div></div><div class="ad-box">Buy now and save.</div>',
+])
+def test_names_give_way_to_density(page):
+    """Layout classes, forms around a page and names on what holds the article don't lose it; what is no main text still goes."""
+    assert extract.main_text(f"<html><body><nav><a href=/>Home</a></nav>{page}<footer>me</footer>") == STORY
+
+
+@pytest.mark.parametrize("part", ["<a x", '<a "', "<a '", "<b></i>", "<i><div><b></i>", "<!x", "<script", "<p><li></b>", '<a ">" ', "<nav><b></i>", "</p", "&", "<table><tr><td>"])
+def test_extraction_takes_time_in_proportion(part):
+    """A megabyte of broken marks, with and without an end, takes seconds at most."""
+    import time
+
+    for end in ("", ">", "<p>end"):
+        begun = time.perf_counter()
+        extract.main_text("<ul><li>" + part * ((1 << 20) // len(part)) + end)
+        assert time.perf_counter() - begun < 30
+
+
+def plain_density(page):
+    """main_text's choice for well-formed pages of blocks and links without names, by plain recursion. page: (tag, items)."""
+    import math
+
+    def count(n):
+        if isinstance(n, str):
+            return len(n.replace(" ", "")), 0, 0, 0
+        c, t, lc, lt = (sum(x) for x in zip((0, 0, 0, 0), *((a[0], a[1] + (not isinstance(x, str)), a[2], a[3]) for x in n[1] for a in [count(x)]), strict=True))
+        return (c, t, c, t + 1) if n[0] == "a" else (c, t, lc, lt)
+
+    c, _, lc, _ = count(page)
+    ratio = lc / c if c else 0
+
+    def density(n):
+        c, t, lc, lt = count(n)
+        if not c:
+            return 0.0
+        base = 1 + math.log(c / max(c - lc, 1) * lc + ratio * c + math.e)
+        return c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1)) / math.log(base)
+
+    def every(n, path):
+        yield n, path
+        for x in n[1]:
+            if not isinstance(x, str):
+                yield from every(x, [*path, n])
+
+    total = lambda n: sum(density(x) for x in n[1] if not isinstance(x, str) and x[0] != "a")
+    nodes = list(every(page, []))
+    best, path = max(nodes, key=lambda x: total(x[0]))
+    least = min(density(n) for n in [*path, best])
+
+    def text(n, take):
+        take = take or n is best or not any(n is p for p in path) and n[0] != "a" and density(n) >= least and count(n)[0] > 0
+        parts, out = [], []
+        for x in n[1]:
+            if isinstance(x, str) or x[0] == "a":
+                parts.append((x if isinstance(x, str) else "".join(x[1])) if take else "")
+            else:
+                out += ["".join(parts), *text(x, take)]
+                parts = []
+        return [*out, "".join(parts)]
+
+    return "\n".join(y for x in (text(page, False) if total(best) > 0 else text(page, True)) if (y := " ".join(x.split())))
+
+
+def test_density_chooses_as_plain_recursion_does():
+    rng = random.Random(11)
+
+    def words(n):
+        return " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 9))) for _ in range(n)) + " "
+
+    def block(depth):
+        tag = rng.choice(["div", "section", "article", "blockquote"])
+        items = []
+        for _ in range(rng.randrange(1, 6)):
+            kind = rng.random()
+            if kind < 0.35 and depth < 5:
+                items.append(block(depth + 1))
+            elif kind < 0.75:
+                items.append(("p", [words(rng.choice([1, 5, 40])), *([("a", [words(2)])] if rng.random() < 0.3 else [])]))
+            elif kind < 0.9:
+                items.append(("ul", [("li", [("a", [words(2)])]) for _ in range(rng.randrange(1, 8))]))
+            else:
+                items.append(words(rng.choice([2, 10])))
+        return tag, items
+
+    def html(n):
+        return n if isinstance(n, str) else f"<{n[0]}>{''.join(map(html, n[1]))}</{n[0]}>"
+
+    for _ in range(400):
+        page = ("body", [block(0) for _ in range(rng.randrange(1, 4))])
+        assert extract.main_text("<html>" + html(page) + "</html>") == plain_density(page)
+
+
 def test_extraction_keeps_a_long_page_whole_and_in_time():
     p = "".join(f"<p>word {i}</p>" for i in range(20000))
     assert extract.main_text(f"<body><nav>{'<a>x</a>' * 100}</nav><article>{p}</article>").count("\n") == 19999

@@ -3,15 +3,15 @@
 Every node's density is its characters per tag, corrected for the share of link characters and tags.
 A node's density sum adds the densities of its children. The node with the largest sum holds the main
 text; the least density on its path to the body is the threshold, and other nodes at or above it give
-the best subtree below them. Elements that are never main text (navigation, forms, scripts, and those
-that class, id or role name as adverts, notices, comments and the like) are left out before any count.
+the best subtree below them. What tags, class, id or role call navigation, adverts, notices, comments and
+the like is left out where density does not say otherwise: see `leave_out`.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -23,127 +23,154 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("optgroup", "option"), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th"), "thead": ("tbody", "tfoot"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select", "datalist"), "optgroup": ("select",)}
-#: Elements and names that are never main text.
-NEVER = frozenset("head script style noscript template nav footer aside form button select textarea input iframe svg math canvas object audio video dialog menu search title".split())
-NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar side-bar sidenav aside footer masthead topbar header site-header cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond widget pagination pager toolbar search hidden".split())
+#: Elements whose content is not shown as text, or is a page's frame by the standard.
+NEVER = frozenset("head script style noscript template nav footer aside button select textarea input iframe svg math canvas object audio video dialog menu search title".split())
+#: Names of what is not main text.
+READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
+NAMES = READERS | frozenset("ad ads adv advert adverts advertisement advertising adsense adslot banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar side-bar sidenav aside footer masthead topbar header site-header cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget pagination pager toolbar search hidden".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-WHOLE = frozenset("html body article main".split())  # names on these say nothing
+WHOLE = frozenset("html body article main".split())  # names on the outermost of these say nothing
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>)", re.S)
-_NAMED = re.compile(r"(?:^|\s)(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
+_OPEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+_QUOTED = re.compile(r"(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>")
+_NAMED = re.compile(r"(?:^|\s)(class|id|role|style|aria-hidden|hidden)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?(?=[\s/]|$)", re.I)
 _SPLIT = re.compile(r"[\s_]+")
 
+FREE, WEAK, STRONG, COMMENT, HARD = range(5)  # how surely a node is no main text, by what it is called
+
 
 class Node:
-    __slots__ = ("chars", "density", "inside", "items", "link", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
+    __slots__ = ("chars", "density", "items", "link_chars", "link_tags", "out", "parent", "sum", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: Node | None, out: int = FREE):
+        self.tag, self.parent, self.out = tag, parent, out
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def _left_out(tag: str, attributes: str, stack: list[Node]) -> bool:
+def called(tag: str, attributes: str, within: bool) -> int:
+    """What an element's tag and attributes say of it. within: it stands inside an article or main element.
+
+    A whole word of class or id, a role or a mark as hidden is a strong hint, the first or last part of a
+    hyphenated word (with-sidebar, cookie-notice) a weak one; so is a form, which may hold the whole page.
+    """
     if tag in NEVER:
-        return True
-    within = tag == "header" and any(n.tag in ("article", "main") for n in stack)
-    if tag == "header" and not within:
-        return True
-    if tag in WHOLE or not attributes.strip():
-        return False
+        return HARD
+    if tag == "header":
+        return FREE if within else STRONG
+    out = WEAK if tag == "form" else FREE
+    if tag in ("html", "body") or not attributes.strip():
+        return out
     for name, a, b, c in _NAMED.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and not within:
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "") or name == "role" and value in ROLES:
+            out = max(out, STRONG)
+        elif name in ("class", "id"):
             for word in _SPLIT.split(value):
-                if word in NAMES or word.partition("-")[0] in NAMES or word.rpartition("-")[2] in NAMES:
-                    return True
-    return False
+                if word in READERS:
+                    out = COMMENT
+                elif tag in WHOLE and not within:
+                    continue
+                elif word in NAMES:
+                    out = max(out, STRONG)
+                elif word.partition("-")[0] in NAMES or word.rpartition("-")[2] in NAMES:
+                    out = max(out, WEAK)
+    return out
+
+
+def _tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, end, name, whether closing, and attributes of every tag; name "" for comments and declarations.
+
+    One pass: beyond the last > there are no tags; a quote that never ends is found once, and from there on
+    quotes say nothing. Content of raw text elements is skipped to their end tags.
+    """
+    last, quotes, at = html.rfind(">") + 1, True, 0
+    while m := _OPEN.search(html, at, last):
+        if m[1] or m[2]:
+            end = html.find("-->" if m[1] else "]]>", m.end())
+            at = len(html) if end < 0 else end + 3
+            yield m.start(), at, "", False, ""
+            continue
+        if m[4] is None:
+            at = html.find(">", m.end()) + 1
+            yield m.start(), at, "", False, ""
+            continue
+        end = _QUOTED.match(html, m.end(), last) if quotes else None
+        quotes = end is not None
+        at = end.end() if end else html.find(">", m.end()) + 1
+        tag, closing = m[4].lower(), bool(m[3])
+        attributes = html[m.end() : at - 1]
+        if tag in RAW and not closing:
+            close = re.compile(f"</{tag}", re.I).search(html, at)
+            to = html.find(">", close.end()) + 1 if close else 0
+            yield m.start(), to or len(html), tag, False, attributes
+            at = to or len(html)
+        else:
+            yield m.start(), at, tag, closing, attributes
 
 
 def parse(html: str) -> Node:
-    """The tree of what may be main text. Left-out elements are skipped to their end, raw text to its end tag."""
+    """The tree of a page: text, blocks, links and inline marks, with what each is called. Time and memory are in proportion to the page."""
     root = Node("html", None)
-    stack = [root]
-    skip: list[str] = []  # open elements from the left-out one down
+    stack, blocks_at = [root], [0]
+    places: dict[str, list[int]] = {}  # of open elements in the stack, by tag
+
+    def close(to: int) -> None:
+        for n in reversed(stack[to:]):
+            places[n.tag].pop()
+            if n.tag in BLOCKS:
+                blocks_at.pop()
+        del stack[to:]
+
+    def last(tags: Iterable[str]) -> int:
+        return max((p[-1] for t in tags if (p := places.get(t))), default=-1)
+
     at = 0
-    low = None
-    n = len(html)
-    while at < n:
-        m = _TAG.search(html, at)
-        if not m:
-            if not skip:
-                stack[-1].items.append(html[at:])
-            break
-        if m.start() > at and not skip:
-            stack[-1].items.append(html[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+    for start, end, tag, closing, attributes in _tags(html):
+        if start > at:
+            stack[-1].items.append(unescape(html[at:start]))
+        at = end
+        if not tag:
             continue
-        tag, closing, attributes = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if closing:
-            if skip:
-                if tag in skip:
-                    while skip.pop() != tag:
-                        pass
-                    continue
-                if not any(x.tag == tag for x in stack[1:]) or tag not in BLOCKS:
-                    continue
-                skip = []  # an outer block ends, and what was left out with it
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCKS and stack[i].tag in BLOCKS:
-                    break
+            place = last((tag,))
+            if place > 0 and (tag in BLOCKS or place > blocks_at[-1]):
+                close(place)
             continue
         if tag in RAW:
-            low = low if low is not None else html.lower()
-            end = low.find(f"</{tag}", at)
-            at = n if end < 0 else end
-            if not skip and tag not in NEVER:
+            if tag not in NEVER:
                 stack[-1].tags += 1
-            if end >= 0:
-                close = html.find(">", at)
-                at = n if close < 0 else close + 1
-            continue
-        if skip:
-            if tag not in VOID:
-                skip.append(tag)
             continue
-        if tag == "html" or tag == "body" and any(x.tag == "body" for x in stack):
+        if tag == "html" or tag == "body" and places.get("body"):
             continue
         if tag in BLOCKS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCKS:
-                    break
-            if tag in CLOSES:
-                stops = SCOPES.get(tag, ("table",))
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in stops:
-                        break
-                    if stack[i].tag in CLOSES[tag]:
-                        del stack[i:]
-                        break
-        if _left_out(tag, attributes, stack):
-            if tag not in VOID:
-                skip = [tag]
-            continue
-        node = Node(tag, stack[-1])
+            if stack[blocks_at[-1]].tag == "p":
+                close(blocks_at[-1])
+            if tag in CLOSES and (place := last(CLOSES[tag])) > last(SCOPES.get(tag, ("table",))):
+                close(place)
+        node = Node(tag, stack[-1], called(tag, attributes, bool(places.get("article") or places.get("main"))))
         stack[-1].items.append(node)
         if tag not in VOID:
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BLOCKS:
+                blocks_at.append(len(stack))
             stack.append(node)
+    if at < len(html):
+        stack[-1].items.append(unescape(html[at:]))
     return root
 
 
+def strip(root: Node, drop: Callable[[Node], bool]) -> None:
+    """Take the subtrees out whose top drop says so of."""
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        if any(isinstance(x, Node) and drop(x) for x in n.items):
+            n.items = [x for x in n.items if not (isinstance(x, Node) and drop(x))]
+        todo.extend(x for x in n.items if isinstance(x, Node))
+
+
 def _order(root: Node) -> list[Node]:
     """Nodes in page order, parents before children."""
     out, todo = [], [root]
@@ -166,7 +193,7 @@ def measure(root: Node) -> list[Node]:
     """
     nodes = _order(root)
     for n in reversed(nodes):
-        n.items = [x if isinstance(x, Node) else unescape(x) for x in n.items]
+        n.chars = n.tags = n.link_chars = n.link_tags = 0
         for x in n.items:
             if isinstance(x, Node):
                 n.chars += x.chars
@@ -189,22 +216,75 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def best_of(nodes: list[Node]) -> Node:
+    """The node of the largest density sum, the first of equals; the root if all are zero."""
+    best = max(nodes, key=lambda n: n.sum)
+    return best if best.sum > 0 else nodes[0]
+
+
+def _with_all_above(nodes: Iterable[Node]) -> set[int]:
+    """The ids of the nodes and of all that hold them."""
+    out: set[int] = set()
+    for n in nodes:
+        while n is not None and id(n) not in out:
+            out.add(id(n))
+            n = n.parent
+    return out
+
+
+def leave_out(root: Node) -> list[Node]:
+    """Strip what is no main text, where density does not say otherwise; the measured nodes that remain.
+
+    1. What is called so for certain goes, but not what holds an article or main element or, on a page
+       without those, most of the text outside links, unless it is called a comment.
+    2. If no text is left by that, only unseen elements and the page's frame go.
+    3. Of the rest, what is called so goes unless it holds the node of the largest density sum, an article
+       or main element or, on a page without those, most of the text.
+    """
+    strip(root, lambda n: n.out == HARD)
+    nodes = measure(root)
+    if all(n.out == FREE for n in nodes):
+        return nodes
+    talk: set[int] = set()
+    for n in nodes:  # parents first
+        if n.out == COMMENT or id(n.parent) in talk:
+            talk.add(id(n))
+    inside = [n for n in nodes if n.tag in ("article", "main") and n.out == FREE and id(n) not in talk]
+    holds = _with_all_above(inside)
+    most = (root.chars - root.link_chars) / 2
+
+    def kept(n: Node) -> bool:
+        return id(n) in holds or not inside and n.chars - n.link_chars > most
+
+    sure = {id(n) for n in nodes if n.out == COMMENT and id(n) not in holds or n.out == STRONG and not kept(n)}
+    gone: set[int] = set()
+    for n in nodes:  # parents first
+        if id(n) in sure or id(n.parent) in gone:
+            gone.add(id(n))
+    if any(id(n) not in gone and any(isinstance(x, str) and x.strip() for x in n.items) for n in nodes):
+        strip(root, lambda n: id(n) in sure)
+        nodes = measure(root)
+        most = (root.chars - root.link_chars) / 2
+    best = _with_all_above([best_of(nodes)])
+    rest = {id(n) for n in nodes if n.out != FREE and id(n) not in best and not kept(n)}
+    if rest:
+        strip(root, lambda n: id(n) in rest)
+        nodes = measure(root)
+    return nodes
+
+
 def main_nodes(root: Node) -> list[Node]:
     """The subtrees that hold the main text, in page order, none inside another."""
-    nodes = measure(root)
+    nodes = leave_out(root)
     if len(nodes) == 1 or not root.chars:
         return [root] if root.chars else []
-    best = max(nodes, key=lambda n: n.sum)  # the first of equals
-    if best.sum <= 0:
+    best = best_of(nodes)
+    if best is root:
         return [root]
     threshold, up = best.density, best
     while up is not None and up.tag != "html":
         threshold, up = min(threshold, up.density), up.parent
-    above = set()
-    up = best.parent
-    while up is not None:
-        above.add(id(up))
-        up = up.parent
+    above = _with_all_above([best.parent])
     chosen, inside = {id(best)}, set()
     for n in nodes:  # parents first
         if n.parent is not None and (id(n.parent) in chosen or id(n.parent) in inside):
