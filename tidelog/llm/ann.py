@@ -10,11 +10,13 @@ many as hold `COVER` of the true neighbours there.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +24,12 @@ from tidelog.llm.common import written
 from tidelog.llm.vectors import kmeans, matrix, nearest, sample, valid
 
 SAMPLE = 20_000
-LISTS = 4096  # most lists
+FEWEST = 4  # sampled vectors to a list at least
 COVER = 0.99
 BLOCK = 4096  # rows of a list that one task holds at a time
 DEPTH = 96  # rows of a block that are reranked for a query
 SLACK = 4.0
+ASKS = 1 << 16  # queries of a list that meet a block in one task
 HELD = 20_000  # queries whose best rows a task holds
 
 
@@ -35,6 +38,7 @@ class Index:
     centres: np.ndarray  # lists x d
     books: np.ndarray  # parts x 256 x d / parts
     probes: int
+    fitted: bool = True  # without a sample there is one list, which is reranked whole
 
     @property
     def parts(self) -> int:
@@ -55,7 +59,7 @@ class Index:
 
 def fit(x: np.ndarray, n: int, parts: int = 16, k: int = 20, seed: int = 0) -> Index:
     """An index for n rows from a sample of them."""
-    lists = int(np.clip(np.sqrt(n) / 2, 1, LISTS))
+    lists = int(np.clip(np.sqrt(n) / 2, 1, max(1, len(x) // FEWEST)))
     centres = kmeans(x, lists, seed=seed)
     width = -(-x.shape[1] // parts)
     ix = Index(centres, np.zeros((-(-x.shape[1] // width), 1, width)), 1)
@@ -72,6 +76,24 @@ def fit(x: np.ndarray, n: int, parts: int = 16, k: int = 20, seed: int = 0) -> I
     return ix
 
 
+class Indexes:
+    """An index for each length of vectors that the sample holds; any other length has one list."""
+
+    def __init__(self, by_length: dict[int, Index]):
+        self.by_length = by_length
+
+    def of(self, length: int) -> Index:
+        return self.by_length.get(length) or Index(np.zeros((1, length)), np.zeros((1, 256, length)), 1, False)
+
+
+def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and vectors of each length in a list column."""
+    lengths = pc.list_value_length(column).to_numpy()
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        yield at, matrix(column if len(at) == len(column) else column.take(pa.array(at)))
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k largest scores, ties to the smaller id."""
     if len(scores) > k:
@@ -86,51 +108,66 @@ def search(base: DataFrame, queries: DataFrame, k: int = 20, most: int = SAMPLE)
 
     score is the inner product in double precision. Equal scores go to the smaller vec_id. Vectors that
     are null, empty, zero or hold null or non-finite components, and rows without an id, take no part;
-    a repeated id can appear once for each row with other components, and once for equal rows. Fewer
-    than k candidates give fewer rows; an empty base or query table gives none. All valid vectors
-    must have one length. Other columns play no part, whatever their names.
+    a repeated id can appear once for each row with other components, and once for equal rows. Query rows
+    that are equal are one query; those that share an id but not the vector are answered each, under that
+    id. Vectors of another length are no candidates. Fewer than k candidates give fewer rows; an empty
+    base or query table gives none. Other columns play no part, whatever their names.
     """
     spark = base.sparkSession
-    kept = base.where(valid() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = queries.where(valid() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    x = sample(kept, most)
-    if not len(x):
+    rows_of = lambda d: d.where(valid() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kept, asked = rows_of(base), rows_of(queries).distinct()
+    drawn = sample(kept, most)
+    if not drawn:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    ix = spark.sparkContext.broadcast(fit(x, kept.count(), k=k))
+    total, taken = kept.count(), sum(map(len, drawn.values()))
+    ix = spark.sparkContext.broadcast(Indexes({w: fit(x, total * len(x) // taken, k=k) for w, x in drawn.items()}))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                at, codes = ix.value.encode(matrix(b.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], ["list", "vec_id", "embedding", "codes"])
+            for rows, x in by_length(b.column(1)):
+                at, codes = ix.value.of(x.shape[1]).encode(x)
+                part = b.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), x.shape[1], np.int32)), pa.array(at.astype(np.int32)), part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], ["width", "list", "vec_id", "embedding", "codes"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 1024):
-                part = b.slice(s, 1024)
-                lists = np.argsort(-(matrix(part.column(1)) @ ix.value.centres.T), axis=1, kind="stable")[:, : ix.value.probes]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(lists.astype(np.int32)), pa.list_(pa.int32()))], ["vec_id", "embedding", "lists"])
-
-    rows = written(kept.mapInArrow(code, "list int, vec_id long, embedding array<double>, codes binary"), "ivf")
-    held = rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    data = rows.join(held, "list").select("list", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), F.lit(0).alias("asks"), "vec_id", "embedding", "codes")
-    probes = asked.mapInArrow(probe, "vec_id long, embedding array<double>, lists array<int>").withColumn("list", F.explode("lists")).join(held, "list")
-    probes = probes.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "vec_id", "embedding", F.lit(None).cast("binary").alias("codes"))
-    met = data.union(probes).repartition("list", "block").sortWithinPartitions("list", "block", "asks", "vec_id")
+                for rows, x in by_length((cut := b.slice(s, 1024)).column(1)):
+                    index = ix.value.of(x.shape[1])
+                    lists = np.argsort(-(x @ index.centres.T), axis=1, kind="stable")[:, : index.probes]
+                    part = cut.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), x.shape[1], np.int32)), part.column(0), part.column(1), pa.array(list(lists.astype(np.int32)), pa.list_(pa.int32()))], ["width", "vec_id", "embedding", "lists"])
+
+    rows = written(kept.mapInArrow(code, "width int, list int, vec_id long, embedding array<double>, codes binary"), "ivf")
+    probes = asked.mapInArrow(probe, "width int, vec_id long, embedding array<double>, lists array<int>").withColumn("list", F.explode("lists")).drop("lists")
+    key = ["width", "list"]
+    held = rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    asks = probes.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / ASKS).cast("int").alias("parts"))
+    cells = written(held.join(asks, key), "ivf-cells")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    data = rows.join(cells, key).withColumn("part", each("parts"))
+    data = data.select(*key, F.pmod(F.xxhash64("vec_id", "embedding"), "blocks").cast("int").alias("block"), "part", F.lit(0).alias("asks"), "vec_id", "embedding", "codes")
+    probes = probes.join(cells, key).withColumn("block", each("blocks"))
+    probes = probes.select(*key, "block", F.pmod(F.xxhash64("vec_id", "embedding"), "parts").cast("int").alias("part"), F.lit(1).alias("asks"), "vec_id", "embedding", F.lit(None).cast("binary").alias("codes"))
+    cell = [*key, "block", "part"]
+    met = data.union(probes).repartition(*cell).sortWithinPartitions(*cell, "asks", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        best: dict[tuple[int, bytes], tuple[np.ndarray, np.ndarray]] = {}  # by id and vector
         now, ids, vecs, codes = None, [], [], []
-        index = ix.value
 
         def out() -> pa.RecordBatch:
-            q = np.repeat(np.array(list(best), np.int64), [len(s) for s, _ in best.values()])
+            n = [len(s) for s, _ in best.values()]
+            q = np.repeat(np.array([i for i, _ in best], np.int64), n)
+            # digests tell the vectors of a repeated id apart
+            asks = np.repeat(np.array([int.from_bytes(hashlib.blake2b(v, digest_size=8).digest(), "little", signed=True) for _, v in best], np.int64), n)
             s = np.concatenate([s for s, _ in best.values()])
             v = np.concatenate([v for _, v in best.values()])
             best.clear()
-            return pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(q), pa.array(asks), pa.array(v), pa.array(s)], ["query_id", "ask", "vec_id", "score"])
 
         def answer(at: int, qs: np.ndarray, q: np.ndarray) -> None:
+            index = ix.value.of(q.shape[1])
             i, v = np.concatenate(ids), np.concatenate(vecs)
             c = np.frombuffer(b"".join(codes), np.uint8).reshape(len(i), -1)
             both = np.unique(np.concatenate([i[:, None].astype(np.float64), v], 1), axis=0, return_index=True)[1]  # equal rows once
@@ -151,58 +188,59 @@ def search(base: DataFrame, queries: DataFrame, k: int = 20, most: int = SAMPLE)
             error = np.sqrt(((exact_rows - read) ** 2).sum(1) / q.shape[1])
             slack = SLACK * np.sqrt((q * q).sum(1))
 
-            def add(qid: int, s: np.ndarray, g: np.ndarray) -> None:
+            def add(ask: tuple[int, bytes], s: np.ndarray, g: np.ndarray) -> None:
                 if len(s) > k + 1:
                     keep = s >= -np.partition(-s, k)[k]
                     s, g = s[keep], g[keep]
                 take = [order[start[j] : start[j + 1]][: k + 1] for j in g]
                 cand = i[np.concatenate(take)]
                 val = np.repeat(s, [len(t) for t in take])
-                own = cand != qid
+                own = cand != ask[0]
                 cand, val = cand[own], val[own]
-                if qid in best:
-                    val, cand = np.concatenate([best[qid][0], val]), np.concatenate([best[qid][1], cand])
-                best[qid] = _best(val, cand, k)
+                if ask in best:
+                    val, cand = np.concatenate([best[ask][0], val]), np.concatenate([best[ask][1], cand])
+                best[ask] = _best(val, cand, k)
 
-            for r, qid in enumerate(qs.tolist()):
-                add(qid, scores[r], near[r])
+            for r, ask in enumerate(zip(qs.tolist(), map(bytes, q), strict=True)):
+                add(ask, scores[r], near[r])
                 if depth < len(first):
-                    s = best[qid][0]
-                    more = rough[r] + slack[r] * error > (s[-1] if len(s) >= k else -np.inf)
+                    s = best[ask][0]
+                    more = rough[r] + slack[r] * error > (s[-1] if len(s) >= k else -np.inf) if index.fitted else np.ones(len(first), bool)
                     more[near[r]] = False
                     more = np.flatnonzero(more)
                     if len(more):
-                        add(qid, exact_rows[more] @ q[r], more)
+                        add(ask, exact_rows[more] @ q[r], more)
 
         for b in batches:
             if not b.num_rows:
                 continue
-            lists, blocks, asks = (b.column(j).to_numpy() for j in range(3))
-            vec_ids, m = b.column(3).to_numpy(), matrix(b.column(4))
-            cuts = np.flatnonzero(np.diff(lists) | np.diff(blocks) | np.diff(asks)) + 1
+            place = np.stack([b.column(j).to_numpy() for j in range(5)], 1)
+            vec_ids = b.column(5).to_numpy()
+            cuts = np.flatnonzero((np.diff(place, axis=0) != 0).any(1)) + 1
             for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
-                key = (int(lists[a]), int(blocks[a]))
-                if key != now:
-                    now, ids, vecs, codes = key, [], [], []
-                if not asks[a]:
+                cell = tuple(place[a, :4].tolist())
+                m = matrix(b.column(6).slice(a, z - a))
+                if cell != now:
+                    now, ids, vecs, codes = cell, [], [], []
+                if not place[a, 4]:
                     ids.append(vec_ids[a:z])
-                    vecs.append(m[a:z])
-                    codes += b.column(5).slice(a, z - a).to_pylist()
+                    vecs.append(m)
+                    codes += b.column(7).slice(a, z - a).to_pylist()
                 elif ids:
-                    for s in range(a, z, 256):
-                        answer(key[0], vec_ids[s : min(s + 256, z)], m[s : min(s + 256, z)])
+                    for s in range(0, z - a, 256):
+                        answer(cell[1], vec_ids[a + s : a + min(s + 256, z - a)], m[s : s + 256])
                     if len(best) > HELD:
                         yield out()
         if best:
             yield out()
 
-    found = met.mapInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = met.mapInArrow(run, "query_id long, ask long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def recall(found: DataFrame, base: DataFrame, queries: DataFrame, k: int = 20, most: int = 256) -> float:
-    """Share of the true k nearest that found has, over at most `most` of the queries, each held against all of base in blocks."""
+    """Share of the true k nearest that found has, over at most `most` of the queries, each held against all of base in blocks. For vectors of one length and unique ids."""
     asked = queries.where(valid()).select("vec_id", "embedding").orderBy(F.xxhash64("vec_id")).limit(most).collect()
     if not asked:
         return 1.0

@@ -1,8 +1,9 @@
 """Embedding near-duplicates by robust-pruned flat graphs on overlapping cluster shards.
 
-1. Equal vectors of a label become one node. Nodes go to the `OVERLAP` nearest centres of a model that
-   is fitted on a bounded sample; centres closer to each other than `APART` are thinned out, so a tight
-   group is not scattered. A shard larger than `SHARD` is cut into blocks by hash.
+1. Equal vectors of a label become one node. A label of at most `WHOLE` nodes is one shard. Nodes of a
+   larger one go to the `OVERLAP` nearest centres of a model that is fitted on a bounded sample, with as
+   many centres as keep a shard within a few blocks; centres closer to each other than `APART` are thinned
+   out, so a tight group is not scattered. A shard larger than `SHARD` is cut into blocks by hash.
 2. A graph is built on each block: candidates pruned robustly, so that each node keeps neighbours in
    all directions, and back edges added. A node's adjacency lists from all its shards are united.
 3. In every pair of blocks of a shard, the nodes of one search the graph of the other: a greedy beam
@@ -11,8 +12,11 @@
    checked too. Nodes that share several shards are counted in the
    first of them. A block answers with counts and a star for each connected set, not with pairs.
 4. Stars of all blocks are joined into components.
+5. Every run audits itself: the links of up to `AUDITED` nodes, drawn by a hash, are counted against all
+   nodes, and a run that has less than `LEAST` of them is an error.
 
-`audit` measures the share of true links that the search finds.
+The sample bounds the centres: with more than about SAMPLE / PER_CENTRE * SHARD * 2 nodes of one label,
+shards and the pairs of their blocks grow with the label, and `most` should grow with it.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +34,13 @@ from tidelog.llm.components import components
 from tidelog.llm.vectors import kmeans, matrix, sample, valid
 
 SAMPLE = 20_000
-CENTRES = 1024  # most centres
+PER_CENTRE = 16  # sampled nodes a centre, at least
 OVERLAP = 4
 APART = 0.8  # largest cosine of two centres
 SHARD = 2048  # nodes of a block at most, in the mean of its hash
+WHOLE = 16  # blocks of a label that is not sharded, at most
+AUDITED = 256
+LEAST = 0.9
 DEGREE = 24
 POOL = 64  # candidates that a node's neighbours are pruned from
 BEAM = 48
@@ -196,32 +204,45 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
     return written(d.select(F.monotonically_increasing_id().alias("node"), "least", "label", "embedding", "copies", F.size("embedding").alias("width")), "graph-distinct")
 
 
+def level(nodes: int) -> int:
+    """How a label of so many nodes is sharded: 0 as a whole, else by 4^(1 + level) centres, which leaves a shard 2 to 8 blocks."""
+    out = 0
+    if nodes > WHOLE * SHARD:
+        while 4 ** (1 + out) < OVERLAP * nodes / (8 * SHARD):
+            out += 1
+    return out
+
+
 def links(nodes: DataFrame, cosine: float = 0.98, most: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
     """(node, found: linked rows of other nodes) and stars (u, v) over nodes (node, label, embedding, copies, width)."""
     spark = nodes.sparkSession
-    n = nodes.count()
-    widths = [r[0] for r in nodes.select("width").distinct().limit(64).collect()]
-    model = {}
-    for w in widths:
-        x = sample(nodes.where(F.col("width") == w), most)
+    sizes = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    steps = F.lit(0)
+    top = level(sizes.agg(F.max("_n")).first()[0] or 0)
+    for k in range(1, top + 1):  # a level from the size on at which level() gives it
+        steps = F.when(F.col("_n") > max(WHOLE * SHARD, 4**k * 8 * SHARD // OVERLAP), k).otherwise(steps)
+    sizes = sizes.select("label", steps.alias("level"))
+    model: dict[tuple[int, int], np.ndarray] = {}
+    for w, x in sample(nodes, most).items() if top else ():
         x = x / np.sqrt((x * x).sum(1))[:, None]
-        model[w] = centres(x, int(np.clip(OVERLAP * n / SHARD / 8, 1, CENTRES)))
+        for k in range(1, top + 1):
+            model[w, k] = centres(x, int(np.clip(len(x) // PER_CENTRE, 1, 4 ** (1 + k))))
     sent = spark.sparkContext.broadcast(model)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shards: list[list[int]] = []
-            for e, w in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
-                c = sent.value.get(w)
-                if c is None:
-                    shards.append([0])
-                    continue
-                v = np.array(e)
-                s = c @ (v / np.abs(v).max())
-                shards.append(np.sort(np.argsort(-s, kind="stable")[:OVERLAP]).tolist())
+            shards: list[list[int]] = [[0]] * b.num_rows
+            kinds = np.stack([b.column(4).to_numpy(), b.column(5).to_numpy()], 1)
+            for kind in np.unique(kinds, axis=0) if b.num_rows else ():
+                c = sent.value.get(tuple(kind.tolist()))
+                if c is not None:
+                    rows = np.flatnonzero((kinds == kind).all(1))
+                    x = _unit(matrix(b.column(2).take(pa.array(rows))))
+                    for r, near in zip(rows.tolist(), np.sort(np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :OVERLAP], axis=1).tolist(), strict=True):
+                        shards[r] = near
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(shards, pa.list_(pa.int32()))], ["node", "label", "embedding", "copies", "width", "shards"])
 
-    placed = nodes.select("node", F.col("label").cast("string").alias("label"), "embedding", "copies", "width").mapInArrow(assign, "node long, label string, embedding array<double>, copies long, width int, shards array<int>")
+    placed = nodes.join(sizes, "label").select("node", F.col("label").cast("string").alias("label"), "embedding", "copies", "width", "level").mapInArrow(assign, "node long, label string, embedding array<double>, copies long, width int, shards array<int>")
     placed = written(placed, "graph-nodes")
     members = placed.withColumn("shard", F.explode("shards"))
     key = ["label", "width", "shard"]
@@ -266,12 +287,12 @@ def links(nodes: DataFrame, cosine: float = 0.98, most: int = SAMPLE) -> tuple[D
             if i == j:
                 seen |= seen.T
                 np.fill_diagonal(seen, False)
-            member = np.zeros((len(ids), len(sent.value.get(x.shape[1], [0])) or 1), bool)
-            for k, s in enumerate(shards):
-                member[k, s] = True
-            before = member[:, :shard]
-            shared = before[asks].astype(np.float32) @ before[base].astype(np.float32).T > 0  # met in an earlier shard
-            own = seen & ~shared
+            own = seen
+            if shard:
+                before = np.zeros((len(ids), shard), np.float32)
+                for k, s in enumerate(shards):
+                    before[k, [t for t in s if t < shard]] = 1
+                own = seen & ~(before[asks] @ before[base].T > 0)  # not met in an earlier shard
             counts[asks] += own @ copies[base]
             if i != j:
                 counts[base] += copies[asks] @ own
@@ -283,6 +304,9 @@ def links(nodes: DataFrame, cosine: float = 0.98, most: int = SAMPLE) -> tuple[D
 
     out = met.repartition(*cells).sortWithinPartitions(*cells, "node").mapInArrow(find, "node long, found long, star long")
     out = written(out, "graph-links")
+    share = audit(nodes, out.groupBy("node").agg(F.sum("found").alias("found")), cosine)
+    if share < LEAST:
+        raise RuntimeError(f"the graphs have only {share:.3f} of the audited links")
     return out.groupBy("node").agg(F.sum("found").alias("found")), out.where("star is not null").select(F.col("node").alias("u"), F.col("star").alias("v"))
 
 
@@ -320,7 +344,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     with nothing; neither do vectors of unequal length. Equal vectors of one label are linked whatever
     rounding makes of their cosine. A null vec_id keeps its row, links with nothing and is its own
     component (null). Rows that repeat an id are rows of their own: each counts as a link of the other
-    if they qualify. An empty table gives an empty result. Other columns play no part.
+    if they qualify. A run that misses more than a tenth of the audited links is an error. An empty table gives an empty result. Other columns play no part.
     """
     d = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     d = d.withColumn("_ok", F.coalesce(valid() & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)))
@@ -336,27 +360,29 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def audit(result: DataFrame, vectors: DataFrame, cosine: float = 0.98, most: int = 512) -> float:
-    """Share of the true links of at most `most` rows, each held against all rows in blocks, that n_links has."""
-    d = vectors.where(valid() & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    asked = d.select("vec_id", "embedding", F.col("label").cast("string").alias("label")).orderBy(F.xxhash64("vec_id")).limit(most).collect()
-    if not asked:
-        return 1.0
+def audit(nodes: DataFrame, found: DataFrame, cosine: float = 0.98, most: int = AUDITED) -> float:
+    """Share of the true links of at most `most` nodes, each held against all nodes in blocks, that found (node, found) has; 1 without any."""
+    columns = lambda d: d.select("node", "embedding", F.col("label").cast("string").alias("label"), "copies")
+    asked = columns(nodes).orderBy(F.xxhash64("embedding", "label"), "node").limit(most).collect()
     by: dict[int, list] = {}
     for r in asked:
         by.setdefault(len(r[1]), []).append(r)
-    sent = vectors.sparkSession.sparkContext.broadcast({w: (np.array([r[0] for r in rs]), np.array([r[2] for r in rs]), _unit(np.array([r[1] for r in rs], np.float64))) for w, rs in by.items()})
+    sent = nodes.sparkSession.sparkContext.broadcast({w: (np.array([r[0] for r in rs]), np.array([r[2] for r in rs]), _unit(np.array([r[1] for r in rs], np.float64))) for w, rs in by.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, int] = {}
         for b in batches:
-            widths = np.array([len(x) for x in b.column(1)])
+            widths = pc.list_value_length(b.column(1)).to_numpy()
             for w, (ids, labels, q) in sent.value.items():
-                part = pa.Table.from_batches([b]).filter(pa.array(widths == w)).combine_chunks()
-                if part.num_rows:
-                    x = matrix(part.column(1).combine_chunks())
-                    hit = (q @ _unit(x).T >= cosine) & (labels[:, None] == np.array(part.column(2).to_pylist())[None, :]) & (ids[:, None] != part.column(0).to_numpy()[None, :])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hit.sum(1))], ["vec_id", "true"])
-
-    true = d.select("vec_id", F.col("embedding").cast("array<double>"), F.col("label").cast("string")).mapInArrow(run, "vec_id long, true long").groupBy("vec_id").agg(F.sum("true").alias("true"))
-    r = true.join(result, "vec_id").agg(F.sum(F.least("true", "n_links")), F.sum("true")).first()
+                rows = np.flatnonzero(widths == w)
+                if len(rows):
+                    part = b.take(pa.array(rows))
+                    hit = (q @ _unit(matrix(part.column(1))).T >= cosine) & (labels[:, None] == np.array(part.column(2).to_pylist())[None, :]) & (ids[:, None] != part.column(0).to_numpy()[None, :])
+                    for i, n in zip(ids.tolist(), (hit @ part.column(3).to_numpy()).tolist(), strict=True):
+                        total[i] = total.get(i, 0) + n
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["node", "true"])
+
+    true = columns(nodes).mapInArrow(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
+    r = true.join(found, "node", "left").agg(F.sum(F.least("true", F.coalesce("found", F.lit(0)))), F.sum("true")).first()
     return r[0] / r[1] if r[1] else 1.0

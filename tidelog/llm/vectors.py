@@ -21,10 +21,13 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def sample(vectors: DataFrame, most: int) -> np.ndarray:
-    """At most `most` vectors of (embedding), drawn by their hash and so the same at every run; unequal lengths raise."""
+def sample(vectors: DataFrame, most: int) -> dict[int, np.ndarray]:
+    """At most `most` vectors of (embedding), drawn by their hash and so the same at every run, by length."""
     rows = vectors.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(most).collect()
-    return np.array([r[0] for r in rows], np.float64) if rows else np.zeros((0, 0))
+    out: dict[int, list] = {}
+    for r in rows:
+        out.setdefault(len(r[0]), []).append(r[0])
+    return {n: np.array(x, np.float64) for n, x in out.items()}
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
