@@ -450,6 +450,36 @@ def test_warc_of_odd_tables(spark):
     assert {r["record_type"] for r in warc.read(warc.write(d, min_bytes=2)).collect()} == {"response"}
 
 
+def test_warc_records_have_ids_of_their_own_and_say_what_they_revisit(spark):
+    import gzip
+
+    d = spark.createDataFrame([(1, "http://a", "x")] * 3 + [(2, "http://b", "x")] * 2 + [(3, None, "")], PAGES)
+    raw = [gzip.decompress(open(r["file"].removeprefix("file://").removeprefix("file:"), "rb").read()[r["offset"] : r["offset"] + r["length"]]).decode() for r in warc.write(d, date="2024-05-06T07:08:09Z").collect()]
+    fields = [dict(x.split(": ", 1) for x in r.split("\r\n\r\n")[0].split("\r\n")[1:]) for r in raw]
+    assert len({f["WARC-Record-ID"] for f in fields}) == 6
+    assert {f["WARC-Date"] for f in fields} == {"2024-05-06T07:08:09Z"}
+    later = [f for f in fields if f["WARC-Type"] == "revisit"]
+    assert [(f["WARC-Refers-To-Target-URI"], f["WARC-Refers-To-Date"], f["X-Refers-To-Page-Id"]) for f in later] == [("http://a", "2024-05-06T07:08:09Z", "1")] * 2
+
+
+def test_warc_is_read_by_as_many_tasks_as_its_bytes_ask_for(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    d = spark.createDataFrame([(i, "u", rng.bytes(20000).hex()) for i in range(300)], PAGES).repartition(3)
+    ix = warc.write(d)
+    total = ix.agg({"length": "sum"}).first()[0]
+    monkeypatch.setattr(warc, "TASK_BYTES", 1 << 19)
+    records = warc.read(ix)
+    assert records.rdd.getNumPartitions() >= total / (1 << 19) > 8
+    assert records.count() == 300
+
+
+def test_one_long_payload_is_one_record(spark):
+    long = "é<p>" * (3 << 20)
+    d = spark.createDataFrame([(1, "u", long), (2, "u", long), (3, "u", "x")], PAGES)
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], None if r["payload"] is None else bytes(r["payload"]) == long.encode()) for r in warc.read(warc.write(d)).where("page_id < 3").collect()}
+    assert got == {1: (len(long.encode()), "response", True), 2: (len(long.encode()), "revisit", None)}
+
+
 def test_warc_ranges_are_merged():
     got = list(warc.ranges([("a", 0, 10), ("a", 12, 5), ("a", 100, 5), ("b", 0, 5)], gap=4, most=1000))
     assert got == [("a", 17, [(0, 10), (12, 5)]), ("a", 105, [(100, 5)]), ("b", 5, [(0, 5)])]
@@ -457,7 +487,7 @@ def test_warc_ranges_are_merged():
 
 
 def test_a_damaged_record_is_an_error():
-    raw, _ = warc.record(1, "u", b"payload", None, False)
+    raw, _ = warc.record(1, "u", b"payload", None, "here", "2024-01-01T00:00:00Z")
     plain = zlib.decompress(raw, 31)
     assert warc.parse(plain)["payload"] == b"payload"
     for bad in (plain.replace(b"payload", b"peyload"), plain[:-3], b"x"):

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.llm import ann, graphs
 from tidelog.llm.components import components
@@ -35,9 +36,10 @@ def plain_links(ids, x, labels, cosine=0.98):
         comp = low
 
 
-@pytest.mark.parametrize("shard", [64, 2048])
-def test_embedding_near_duplicates(spark, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "whole"), [(64, 16), (32, 1), (2048, 16)])
+def test_embedding_near_duplicates(spark, monkeypatch, shard, whole):
     monkeypatch.setattr(graphs, "SHARD", shard)
+    monkeypatch.setattr(graphs, "WHOLE", whole)
     x = cloud()
     labels = np.arange(len(x)) % 2
     d = table(spark, x, labels).union(spark.createDataFrame(ODD + [(906, [1.0] * 8, None), (907, [1.0] * 8, None), (908, [1.0] * 3, 1), (909, [2.0] * 3, 1)], VECTORS)).selectExpr("*", "1 AS node", "2 AS copies")
@@ -46,7 +48,10 @@ def test_embedding_near_duplicates(spark, monkeypatch, shard):
     assert {i: got[i] for i in range(len(x))} == {i: (int(n[i]), int(comp[i]), bool(comp[i] == i)) for i in range(len(x))}
     assert {i: got[i] for i in range(900, 908)} == {i: (0, i, True) for i in range(900, 908)}
     assert got[908] == (1, 908, True) and got[909] == (1, 908, False)
-    assert graphs.audit(graphs.near_duplicates(d), d) == 1.0
+    nodes = graphs.nodes_of(d)
+    found, _ = graphs.links(nodes)
+    assert graphs.audit(nodes, found) == 1.0
+    assert graphs.audit(nodes, found.withColumn("found", F.expr("found div 2"))) < 0.7
 
 
 def test_a_hub_keeps_copies_that_are_out_of_each_others_range(spark, monkeypatch):
@@ -70,6 +75,16 @@ def test_a_hub_keeps_copies_that_are_out_of_each_others_range(spark, monkeypatch
     assert got == {i: (int(n[i]), int(comp[i])) for i in range(800)}
 
 
+def test_an_audit_that_fails_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "audit", lambda *_: 0.5)
+    with pytest.raises(RuntimeError, match="audited"):
+        graphs.near_duplicates(table(spark, np.eye(3), [0, 0, 0]))
+
+
+def test_labels_are_sharded_by_their_size():
+    assert [graphs.level(n) for n in (1, 16 * 2048, 16 * 2048 + 1, 1 << 16, (1 << 16) + 1, 1 << 18, (1 << 18) + 1)] == [0, 0, 1, 1, 2, 2, 3]
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert graphs.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
     d = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (2, [2.0, 0.0], 1)], VECTORS)
@@ -116,6 +131,21 @@ def test_nearest_neighbours(spark, monkeypatch, block):
         assert np.allclose([s for _, s in rows], [float(x[q].astype(float) @ x[v].astype(float)) for v, _ in rows])
 
 
+def test_repeated_queries_and_lengths(spark):
+    """Equal query rows are one query, other vectors under the same id are their own; candidates of another length are none."""
+    x = cloud(300, seed=9)
+    d = table(spark, x, np.zeros(300)).union(table(spark, x[20:60], np.zeros(40), 20))  # repeated rows
+    d = d.union(table(spark, x[100:101], [0], 40)).union(table(spark, np.random.default_rng(2).normal(size=(50, 5)), np.zeros(50), 1000))  # another vector of 40, another length
+    rows = [(r["vec_id"], np.array(r["embedding"])) for r in d.collect()]
+    want = []
+    for i, q in {(i, v.tobytes()): (i, v) for i, v in rows if i % 20 == 0}.values():
+        near = {(j, v.tobytes()): (-float(q @ v), j) for j, v in rows if j != i and len(v) == len(q)}
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(sorted(near.values())[:20])]
+    got = [tuple(r) for r in ann.search(d, d.where("vec_id % 20 = 0")).select("query_id", "rank", "vec_id", "score").collect()]
+    assert sorted((i, r, round(s, 6)) for i, r, _, s in got) == sorted((i, r, round(s, 6)) for i, r, _, s in want)
+    assert sum(i == 40 for i, *_ in got) == 40 and sum(i >= 1000 for i, *_ in got) == 3 * 20
+
+
 def test_few_candidates(spark):
     d = table(spark, np.eye(3), [0, 0, 0])
     got = sorted((r["rank"], r["vec_id"], r["score"]) for r in ann.search(d, d.where("vec_id = 0")).collect())
