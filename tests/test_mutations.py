@@ -82,7 +82,8 @@ def test_compaction_drops_tombstones_only_at_the_bottom(spark, tmp_path):
     assert s.compact() == 1
     assert [g for g, _ in s.manifest.live()] == [1]
     assert {r["key"] for r in s.read().collect()} == {"k1", "k2"}
-    assert len(s.clean()) == 4 and s.on_disk() == s.manifest.live()
+    assert s.clean() == []  # too young: they may be of a writer that has not published yet
+    assert len(s.clean(0)) == 4 and s.on_disk() == s.manifest.live()
     more = log(spark, *[("x", str(i)) for i in range(4)], ("k1", None))
     for i in range(2, 6):
         s.flush(more.where(f"lsn = {i}").withColumn("lsn", more["lsn"] + 100))
@@ -93,6 +94,29 @@ def test_compaction_drops_tombstones_only_at_the_bottom(spark, tmp_path):
     assert s.bytes_on_disk() > 0
 
 
+def test_a_batch_makes_one_run(spark, tmp_path):
+    s = RunStore(spark, f"{tmp_path}/s")
+    d = log(spark, ("a", "1"))
+    assert [s.flush(d, batch="b1"), s.flush(d, batch="b1"), s.flush(d, batch="b2"), s.flush(d.where("false"))] == [1, -1, 2, -1]
+    assert s.manifest.live() == [(0, 2), (0, 1)] == sorted(s.on_disk(), reverse=True)
+
+
+def test_recovery_replays_logs_in_order_and_removes_them(spark, tmp_path):
+    from tidelog.sources import wal
+
+    folder = f"file://{tmp_path}/logs"
+    d = spark.createDataFrame([(2, 1, "a", False, "old"), (2, 2, "k5", False, "x"), (10, 1, "a", False, "new"), (10, 2, "k5", True, None)], "wal_seq long, lsn long, key string, tombstone boolean, value string")
+    assert wal.write(d, folder) == ["wal-10.log", "wal-2.log"]
+    at = tmp_path / "logs" / "wal-10.log"
+    at.write_bytes(at.read_bytes() + wal.frame(wal.PUT, b"torn", b"value")[:-3])
+    for p in (tmp_path / "logs").glob(".*.crc"):
+        p.unlink()
+    s = RunStore(spark, f"{tmp_path}/s")
+    assert s.recover(folder) == 1
+    assert live(m.materialize(s.read())) == {"a": "new"}
+    assert not list((tmp_path / "logs").glob("wal-*")) and s.recover(folder) == -1
+
+
 def test_pick_tier_and_may_drop(spark):
     runs = spark.createDataFrame([(0, i) for i in range(3)] + [(1, i) for i in range(5)], "gen int, seq long")
     assert pick_tier(runs).first()["gen"] == 1

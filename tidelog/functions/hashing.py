@@ -64,3 +64,25 @@ def parse_run_name(name: Column) -> Column:
 def tokens(line: Column) -> Column:
     """The words of a line, split at white space."""
     return F.filter(F.split(line, r"\s+"), lambda x: x != "")
+
+
+def quoted(text: Column) -> Column:
+    """Text in double quotes, with backslash escapes for quotes, backslashes, tabs and line ends."""
+    for raw, mark in (("\\", "\\\\"), ('"', '\\"'), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(raw), F.lit(mark))
+    return F.concat(F.lit('"'), text, F.lit('"'))
+
+
+def be_bytes(n: Column, width: int = 8) -> Column:
+    """The last `width` bytes of a BIGINT, most significant first."""
+    return F.unhex(F.right(F.lpad(F.hex(n.cast("long")), 16, "0"), F.lit(2 * width)))
+
+
+def uvarint(n: Column) -> Column:
+    """A BIGINT of 0 or more as a base-128 number, low group first, each but the last with its top bit set."""
+    n = n.cast("long")
+    last = F.floor((F.greatest(F.length(F.bin(n)), F.lit(1)) - 1) / 7).cast("int")
+    bits = F.lpad(F.bin(n), 70, "0")
+    seven = lambda i: F.conv(F.substr(bits, 64 - 7 * i, F.lit(7)), 2, 10).cast("int")
+    group = lambda i: F.lpad(F.hex(seven(i) + F.when(i < last, 128).otherwise(0)), 2, "0")
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), last), group), ""))

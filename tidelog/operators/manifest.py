@@ -62,7 +62,8 @@ class Manifest:
             return []
         return sorted(n for s in fs.listStatus(Path(self.path)) if self.NAME.match(n := s.getPath().getName()))
 
-    def entries(self) -> list[tuple[str, int, int]]:
+    def lines(self) -> list[str]:
+        """All lines of all files, in order. A malformed line is an error unless it is the last of the last file."""
         fs, Path = self.fs()
         jvm = self.spark.sparkContext._jvm
         out = []
@@ -75,14 +76,16 @@ class Manifest:
                 stream.close()
             lines = text.split("\n")
             for k, line in enumerate(lines):
-                m = re.fullmatch(r"(\S+) (\d+) (\d+)", line)
-                if m:
-                    if m[1] in ("ADD", "DEL"):
-                        out.append((m[1], int(m[2]), int(m[3])))
+                if re.fullmatch(r"\S+ \d+ \d+|BATCH \S+", line):
+                    out.append(line)
                 elif line and not (f == files[-1] and k == len(lines) - 1):
                     raise ValueError(f"malformed manifest line in {f}: {line!r}")
         return out
 
+    def entries(self) -> list[tuple[str, int, int]]:
+        found = (re.fullmatch(r"(ADD|DEL) (\d+) (\d+)", line) for line in self.lines())
+        return [(m[1], int(m[2]), int(m[3])) for m in found if m]
+
     def live(self) -> list[tuple[int, int]]:
         """(gen, seq) of live runs, newest first."""
         found: dict[tuple[int, int], bool] = {}
@@ -93,13 +96,17 @@ class Manifest:
     def next_seq(self) -> int:
         return max((s for _, _, s in self.entries()), default=0) + 1
 
-    def commit(self, add: list[tuple[int, int]] = (), drop: list[tuple[int, int]] = ()) -> None:
-        """Publish additions and removals together. A file of the same number, from another writer, makes this fail."""
+    def batches(self) -> set[str]:
+        """Names of the batches whose runs were published."""
+        return {m[1] for line in self.lines() if (m := re.fullmatch(r"BATCH (\S+)", line))}
+
+    def commit(self, add: list[tuple[int, int]] = (), drop: list[tuple[int, int]] = (), batch: str | None = None) -> None:
+        """Publish additions, removals and a batch's name together. A file of the same number, from another writer, makes this fail."""
         fs, Path = self.fs()
         files = self.files()
         number = int(files[-1][:12]) + 1 if files else 1
         target, temporary = f"{self.path}/{number:012d}.log", f"{self.path}/.{number:012d}.tmp"
-        body = "".join(f"ADD {g} {s}\n" for g, s in add) + "".join(f"DEL {g} {s}\n" for g, s in drop)
+        body = "".join(f"ADD {g} {s}\n" for g, s in add) + "".join(f"DEL {g} {s}\n" for g, s in drop) + (f"BATCH {batch}\n" if batch is not None else "")
         stream = fs.create(Path(temporary), True)
         try:
             stream.write(bytearray(body.encode()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,3 +60,42 @@ def write_amplification(log: DataFrame, size: Column, levels: Sequence[Sequence[
     for o in once:  # one-row tables
         out = out.join(F.broadcast(o)).withColumn("written", F.col("written") + F.col("_w")).drop("_w")
     return out.select((F.col("written").cast("double") / F.col("logical").cast("double")).alias("amplification"))
+
+
+def live_keys_over_time(log: DataFrame, ts: str = "ts", unit: str = "hour") -> DataFrame:
+    """window_start and live_keys: keys that are live at the end of each hour (or minute, day) with mutations. log: key, lsn, tombstone and a time that follows lsn.
+
+    Each mutation adds or takes a key, or neither; the running sum sees a row a window.
+    """
+    was = F.coalesce(~F.lag("tombstone").over(Window.partitionBy("key").orderBy("lsn")), F.lit(False))
+    change = (~F.col("tombstone")).cast("long") - was.cast("long")
+    sums = log.withColumn("_c", change).groupBy(F.date_trunc(unit, ts).alias("window_start")).agg(F.sum("_c").alias("_c"))
+    run = Window.orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
+    return sums.select("window_start", F.sum("_c").over(run).alias("live_keys"))
+
+
+def gauge(read: Callable[[], int]) -> int:
+    """A gauge's number now; -1 where it can't be read, so a scrape never fails."""
+    try:
+        return int(read())
+    except Exception:
+        return -1
+
+
+def workload(ids: DataFrame, keys: int = 10_000, put_percent: int = 50, seed: int = 1) -> DataFrame:
+    """op_no, op and key of a load of puts and gets on random keys, drawn by MD5 and so the same anywhere. ids: op_no."""
+    draw = lambda what: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(what), F.lit(str(seed)), F.col("op_no").cast("string"))), 1, 12), 16, 10).cast("long")
+    return ids.select("op_no", F.when(draw("op") % 100 < put_percent, "put").otherwise("get").alias("op"), F.concat(F.lit("key-"), (draw("key") % keys).cast("string")).alias("key"))
+
+
+def unreliable(messages: DataFrame, seed: int = 1) -> DataFrame:
+    """What a bad network makes of messages (id, sent_ms): lost requests and replies, delays; outcome and arrived_ms, drawn by MD5.
+
+    Fixed values: requests take 0 to 26 ms, a tenth of them and of the replies is lost, and two thirds of the
+    replies come 200 to 2199 ms late.
+    """
+    draw = lambda what, n: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(what), F.lit(str(seed)), F.col("id").cast("string"))), 1, 12), 16, 10).cast("long") % n
+    outcome = F.when(draw("request", 1000) < 100, "request_lost").when(draw("reply", 1000) < 100, "reply_lost").otherwise("delivered")
+    wait = draw("delay", 27) + F.when(draw("late", 900) < 600, 200 + draw("by", 2000)).otherwise(0)
+    d = messages.withColumn("outcome", outcome)
+    return d.withColumn("arrived_ms", F.when(F.col("outcome") == "delivered", F.col("sent_ms") + wait))

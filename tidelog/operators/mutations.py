@@ -38,9 +38,9 @@ def latest(log: DataFrame, *group: str) -> DataFrame:
     """The newest mutation of each key (and group), tombstones kept.
 
     row_number() = 1 plans to a limit before and after one exchange on the key, so a hot key sends a row
-    a task. The whole row breaks ties, should an lsn repeat.
+    a task. An lsn is one mutation's; should it repeat, the delete counts. Values of any type are not compared.
     """
-    order = [F.desc("lsn"), F.desc("tombstone"), F.desc("value")]
+    order = [F.desc("lsn"), F.desc("tombstone")]
     rank = F.row_number().over(Window.partitionBy(*group, "key").orderBy(*order))
     return log.withColumn("_r", rank).where("_r = 1").drop("_r")
 
@@ -88,6 +88,19 @@ def ordered_scan(log: DataFrame, low=None, high=None) -> DataFrame:
     return materialize(d).orderBy("key")
 
 
+def placed(rows: DataFrame, prefix: int = 2) -> DataFrame:
+    """Rows with their place in the byte order of their keys, from 1.
+
+    Keys are numbered within each prefix of so many characters; the prefixes' counts, a row each, give the
+    place where it starts. No task sorts all rows.
+    """
+    d = rows.withColumn("_p", F.substring("key", 1, prefix))
+    counts = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    starts = counts.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    n = F.row_number().over(Window.partitionBy("_p").orderBy("key"))
+    return d.withColumn("_n", n).join(starts, "_p").withColumn("place", F.col("_start") + F.col("_n")).drop("_p", "_n", "_start")
+
+
 def as_of(log: DataFrame, lsn: int) -> DataFrame:
     """Live rows as they were once `lsn` had been applied."""
     return materialize(log.where(F.col("lsn") <= lsn))

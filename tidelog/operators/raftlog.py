@@ -123,9 +123,17 @@ def fresh_replies(replies: DataFrame) -> DataFrame:
     return replies.withColumn("_top", F.max("seq").over(w)).where(F.col("_top").isNull() | (F.col("seq") > F.col("_top"))).drop("_top")
 
 
-def compact_log(log: DataFrame, last_included: int) -> DataFrame:
-    """A log without what a snapshot at last_included covers."""
-    return log.where(F.col("idx") > last_included)
+def compact_log(log: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Logs (server, idx, term) after snapshots (server, index, last_applied), with `sentinel`.
+
+    What a snapshot covers goes, but for the entry at its index, which stays as the sentinel that keeps
+    the term before the log's first entry. A snapshot at or below the log's base, or beyond what its server
+    has applied, changes nothing; nor does a server without one.
+    """
+    base = log.groupBy("server").agg(F.min("idx").alias("_base"))
+    s = snapshots.join(base, "server").where((F.col("index") > F.col("_base")) & (F.col("index") <= F.col("last_applied"))).select("server", F.col("index").alias("_at"))
+    d = log.join(s, "server", "left").where(F.col("_at").isNull() | (F.col("idx") >= F.col("_at")))
+    return d.withColumn("sentinel", F.coalesce(F.col("idx") == F.col("_at"), F.lit(False))).drop("_at")
 
 
 def install_snapshot(log: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -139,14 +147,20 @@ def install_snapshot(log: DataFrame, snapshots: DataFrame) -> DataFrame:
     return d.where(keep).drop("last_included", "_same", "_old")
 
 
-def leader_at(requests: DataFrame, changes: DataFrame) -> DataFrame:
-    """requests (id, ts) with the leader that the last change (ts, leader) before or at ts made.
+def leader_at(requests: DataFrame, changes: DataFrame, width: float) -> DataFrame:
+    """requests (id, ts) with the leader that the last change (ts, leader) before or at ts made; null before the first. ts: a number, or a timestamp and width in seconds.
 
-    One pass over both, in time order; the order is global, so it serves traces of a cluster, not data.
+    Time is cut into spans of `width`. Each is one group, and the last leader of every span, a row each, is
+    carried into the spans after it; no task sees more than a span or the list of spans.
     """
-    d = requests.select("id", "ts", F.lit(None).cast(changes.schema["leader"].dataType).alias("leader"), F.lit(1).alias("_k")).unionByName(changes.select(F.lit(None).cast(requests.schema["id"].dataType).alias("id"), "ts", "leader", F.lit(0).alias("_k")))
-    w = Window.orderBy("ts", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn("leader", F.last("leader", ignorenulls=True).over(w)).where("_k = 1").drop("_k")
+    kind = changes.schema["leader"].dataType
+    d = requests.select("id", "ts", F.lit(None).cast(kind).alias("leader"), F.lit(1).alias("_k")).unionByName(changes.select(F.lit(None).cast(requests.schema["id"].dataType).alias("id"), "ts", "leader", F.lit(0).alias("_k")))
+    d = d.withColumn("_span", F.floor(F.col("ts").cast("double") / width))
+    ends = d.groupBy("_span").agg(F.max_by("leader", F.when(F.col("leader").isNotNull(), F.col("ts"))).alias("_end"))
+    carried = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
+    w = Window.partitionBy("_span").orderBy("ts", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("leader", F.last("leader", ignorenulls=True).over(w)).where("_k = 1").join(carried, "_span")
+    return d.select("id", "ts", F.coalesce("leader", "_carried").alias("leader"))
 
 
 def silent_gaps(beats: DataFrame, timeout: str) -> DataFrame:
@@ -160,8 +174,24 @@ def safety_violations(applied: DataFrame) -> DataFrame:
 
 
 def commit_counts(applied: DataFrame) -> DataFrame:
-    """For each index, the servers that applied it and the distinct commands they applied. applied: server, idx, command."""
-    return applied.groupBy("idx").agg(F.countDistinct("server").alias("servers"), F.countDistinct("command").alias("commands"))
+    """For each index, the servers that applied it and the distinct commands they applied. applied: server, idx, command.
+
+    Pairs are made distinct first, so both counts come from one aggregate without copying rows.
+    """
+    pairs = applied.groupBy("idx", "server", "command").agg(F.lit(1).alias("_one"))
+    return pairs.groupBy("idx").agg(F.size(F.collect_set("server")).cast("long").alias("servers"), F.size(F.collect_set("command")).cast("long").alias("commands"))
+
+
+def acknowledged(proposals: DataFrame, applied: DataFrame, seconds: float = 2.0) -> DataFrame:
+    """id and outcome of proposals (id, server, idx, term, ts) against what their servers applied (server, idx, term, ts).
+
+    ok: the entry applied at the index has the proposal's term, in time. not_leader: it has another, as the
+    leader changed. error: nothing was applied there in time.
+    """
+    a = applied.select("server", "idx", F.col("term").alias("_term"), F.col("ts").alias("_at"))
+    late = F.col("_at") > F.col("ts") + F.make_interval(secs=F.lit(seconds))
+    outcome = F.when(F.col("_at").isNull() | late, "error").when(F.col("term") == F.col("_term"), "ok").otherwise("not_leader")
+    return proposals.join(a, ["server", "idx"], "left").select("id", outcome.alias("outcome"))
 
 
 def election_violations(claims: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ runs are live is what the manifest says (see manifest.py); a merge is published
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,17 @@ def floor_block(index: DataFrame, key) -> DataFrame:
     return index.where(F.col("first_key") <= F.lit(key)).groupBy("run").agg(F.max(F.struct("first_key", "block")).alias("b")).select("run", "b.block", "b.first_key")
 
 
+def order_violations(entries: DataFrame, by: str, place: str) -> DataFrame:
+    """Entries whose key does not exceed the one before it in its run, with that key: what a run's writer refuses."""
+    before = F.lag("key").over(Window.partitionBy(by).orderBy(place))
+    return entries.withColumn("before", before).where(F.col("key") <= F.col("before"))
+
+
+def newest_first(runs: DataFrame) -> DataFrame:
+    """Runs (gen, seq) with their place in the order that a reader asks them: newest first, by tier."""
+    return runs.withColumn("place", F.row_number().over(Window.partitionBy("gen").orderBy(F.desc("seq"))))
+
+
 class RunStore:
     """Runs of one table in a folder, with its manifest.
 
@@ -64,23 +77,32 @@ class RunStore:
     def run_path(self, gen: int, seq: int) -> str:
         return f"{self.path}/runs/gen={gen}/seq={seq}"
 
-    def read(self) -> DataFrame:
-        """All mutations of live runs, tombstones included."""
+    def read(self, runs: bool = False) -> DataFrame:
+        """All mutations of live runs, tombstones included; runs: with the gen and seq of each one's run."""
+        schema = self.schema + ", gen int, seq long" * runs
         paths = [self.run_path(g, s) for g, s in self.manifest.live()]
         if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*paths)
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(schema)
+        return (reader.option("basePath", f"{self.path}/runs") if runs else reader).parquet(*paths)
 
     def _write(self, log: DataFrame, gen: int, seq: int) -> None:
         log.repartitionByRange("key").sortWithinPartitions("key").write.parquet(self.run_path(gen, seq))
 
-    def flush(self, log: DataFrame) -> int:
-        """Reduce log to a tier-0 run and publish it; the run's number. A log without rows makes no run and gives -1."""
-        if log.isEmpty():
+    def flush(self, log: DataFrame, batch: str | None = None) -> int:
+        """Reduce log to a tier-0 run and publish it; the run's number. A log without rows makes no run and gives -1.
+
+        batch: a name that is published with the run. A batch that was published before makes no second run.
+        """
+        if batch is not None and batch in self.manifest.batches():
             return -1
         seq = self.manifest.next_seq()
         self._write(latest(log.select("key", "lsn", "tombstone", "value")), 0, seq)
-        self.manifest.commit(add=[(0, seq)])
+        if self.spark.read.schema(self.schema).parquet(self.run_path(0, seq)).isEmpty():
+            fs, Path = self.manifest.fs()
+            fs.delete(Path(self.run_path(0, seq)), True)
+            return -1
+        self.manifest.commit(add=[(0, seq)], batch=batch)
         return seq
 
     def compact(self) -> int:
@@ -104,11 +126,29 @@ class RunStore:
             self.manifest.commit(add=[(gen + 1, seq)], drop=tiers[gen])
             done += 1
 
-    def clean(self) -> list[tuple[int, int]]:
-        """Delete runs on disk that are not live; what was deleted."""
+    def recover(self, folder: str) -> int:
+        """Replay all log files of a folder in their order into one tier-0 run, publish it, then delete the logs; the run's number, -1 without records.
+
+        A crash before the last step leaves logs whose replay makes a second run of the same mutations, which
+        reading by lsn counts once. The lsn is the log's number times 2^32 and the place in it.
+        """
+        from tidelog.sources import wal
+
+        seq = self.flush(wal.mutations(wal.read(self.spark, folder), self.schema.rpartition("value ")[2]))
+        fs, Path = self.manifest.fs()
+        for s in fs.globStatus(Path(f"{folder.rstrip('/')}/wal-*.log")) or []:
+            fs.delete(s.getPath(), False)
+        return seq
+
+    def clean(self, older_than: float = 3600.0) -> list[tuple[int, int]]:
+        """Delete runs on disk that are not live and whose folder is `older_than` seconds old at least; what was deleted.
+
+        Younger ones may be of a writer that has not published yet. The age must exceed the longest flush or merge.
+        """
         live = set(self.manifest.live())
-        gone = [r for r in self.on_disk() if r not in live]
         fs, Path = self.manifest.fs()
+        before = time.time() - older_than
+        gone = [r for r in self.on_disk() if r not in live and fs.getFileStatus(Path(self.run_path(*r))).getModificationTime() / 1000 <= before]
         for g, s in gone:
             fs.delete(Path(self.run_path(g, s)), True)
         return gone

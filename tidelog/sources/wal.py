@@ -7,12 +7,14 @@ another type; what comes after it in the same file is not read, other files are.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -54,20 +56,71 @@ def log_seq(path: str) -> int:
     return int(m[1]) if m else -1
 
 
+def _batches(seq: int, records: Iterator[tuple[int, bytes, bytes | None]]) -> Iterator[pa.RecordBatch]:
+    """Records of a log as batches of bounded length."""
+    place = 0
+    while rows := list(itertools.islice(records, 1 << 14)):
+        kinds, keys, values = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array([seq] * len(rows), pa.int64()), pa.array(range(place, place + len(rows)), pa.int64()), pa.array(kinds, pa.int8()), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], ["wal_seq", "record_no", "type", "key", "value"])
+        place += len(rows)
+
+
 def decode(files: DataFrame) -> DataFrame:
-    """Records of log files given as a binaryFile table (path, content): what any store that Spark reads may hold."""
+    """Records of log files given as a binaryFile table (path, content): what any store that Spark reads may hold.
+
+    A log is one row and below 2 GB; logs end at a flush, long before that.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows = [(log_seq(path), i, *r) for i, r in enumerate(replay(content.as_py() or b""))]
-                if rows:
-                    cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int8(), pa.binary(), pa.binary()), strict=True)], ["wal_seq", "record_no", "type", "key", "value"])
+                yield from _batches(log_seq(path), replay(content.as_py() or b""))
 
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
+def mutations(records: DataFrame, value_type: str = "string") -> DataFrame:
+    """key, lsn, tombstone and value of replayed records: text keys and values, lsn by log and place in it."""
+    return records.select(F.col("key").cast("string").alias("key"), (F.col("wal_seq") * (1 << 32) + F.col("record_no")).alias("lsn"), (F.col("type") == DELETE).alias("tombstone"), F.col("value").cast("string").cast(value_type).alias("value"))
+
+
+def write(log: DataFrame, folder: str) -> list[str]:
+    """Write a log (wal_seq, lsn, key, tombstone, value) as one file wal-<wal_seq>.log each, in order of lsn; the files' names.
+
+    A log has one appender, so it is one task's. Each attempt writes a file of its own and renames it when
+    it is whole: a task that runs twice, or dies, leaves no half log. Values are written as text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        seq, out, names = None, None, []
+        temporary = f"{root}/.attempt-{TaskContext.get().taskAttemptId()}"
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                files.move(temporary, f"{root}/wal-{seq}.log")
+                names.append(f"wal-{seq}.log")
+
+        for b in batches:
+            for n, key, gone, value in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if n != seq:
+                    close()
+                    seq, out = n, files.open_output_stream(temporary, compression=None)
+                out.write(frame(DELETE if gone else PUT, key, value))
+        close()
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["file"])
+
+    d = log.select("wal_seq", F.col("key").cast("binary").alias("key"), "tombstone", F.col("value").cast("string").cast("binary").alias("value"), "lsn")
+    d = d.repartition("wal_seq").sortWithinPartitions("wal_seq", "lsn").drop("lsn")
+    return sorted(r[0] for r in d.mapInArrow(run, "file string").collect())  # a name a log
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """Records of all wal-*.log files of a folder; none for a folder without any."""
     from tidelog.session import ship
@@ -100,8 +153,7 @@ class WalReader(DataSourceReader):
         files = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
         with files.open_input_file(partition.path) as f:
             data = f.read()
-        for i, (kind, key, value) in enumerate(replay(data)):
-            yield log_seq(partition.path), i, kind, key, value
+        yield from _batches(log_seq(partition.path), replay(data))
 
 
 class WalSource(DataSource):
@@ -120,7 +172,5 @@ class WalSource(DataSource):
 
 def valid_prefix(records: DataFrame, by: str = "wal_seq", place: str = "record_no", ok: str = "crc_ok") -> DataFrame:
     """Decoded records before the first bad one of their log. Only bad records are gathered: one place a log."""
-    from pyspark.sql import functions as F
-
     bad = records.where(~F.col(ok)).groupBy(by).agg(F.min(place).alias("_bad"))
     return records.join(bad, by, "left").where(F.col("_bad").isNull() | (F.col(place) < F.col("_bad"))).drop("_bad")

@@ -2,48 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
 
-from tidelog.operators.mutations import latest
 from tidelog.operators.runs import RunStore
 
 
-def lww_stream(log: DataFrame, value_type: str = "double") -> DataFrame:
-    """The state of each key after every batch that changes it: key, lsn, tombstone, value.
+def lww_stream(log: DataFrame) -> DataFrame:
+    """The state of each key after every batch that touches it: key, lsn, tombstone, value. Write it in update mode.
 
-    log: key, lsn, tombstone, value. A mutation at or below the state's lsn is late or a replay and
-    changes nothing, so shuffled and repeated input settles on the batch answer. Write it in update mode.
+    log: key, lsn, tombstone, value. A mutation below the state's lsn is late or a replay and changes
+    nothing, so shuffled and repeated input settles on the batch answer. All of it runs in the JVM.
     """
-    value = "string" if value_type == "string" else value_type
+    newest = F.max_by(F.struct("lsn", "tombstone", "value"), F.struct("lsn", "tombstone"))
+    return log.groupBy("key").agg(newest.alias("m")).select("key", "m.lsn", "m.tombstone", "m.value")
+
 
-    def step(key: tuple[str], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get if state.exists else None
-        best = before
-        for p in parts:
-            row = p.loc[p["lsn"].idxmax()]
-            if best is None or row["lsn"] > best[0]:
-                v = row["value"]
-                best = (int(row["lsn"]), bool(row["tombstone"]), None if pd.isna(v) else v)
-        if best is not None and best != before:
-            state.update(best)
-            yield pd.DataFrame({"key": [key[0]], "lsn": [best[0]], "tombstone": [best[1]], "value": [best[2]]})
+def to_folder(stream: DataFrame, path: str, checkpoint: str, mode: str = "update"):
+    """A writer of each micro-batch's rows to path/batch=<id>. A batch that runs again replaces its folder, so each counts once."""
 
-    return log.groupBy("key").applyInPandasWithState(step, f"key string, lsn long, tombstone boolean, value {value}", f"lsn long, tombstone boolean, value {value}", "update", GroupStateTimeout.NoTimeout)
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint)
 
 
 def flush_batches(log: DataFrame, store: RunStore, checkpoint: str):
     """A writer that makes each micro-batch a run and then lets compaction run: group commit by batch.
 
-    Batches are reduced before they are written. A batch that is replayed after a failure makes a
-    second run of the same mutations, which reading by lsn counts once.
+    The manifest names the batch with its run, so a batch that is replayed after a failure makes no second one.
+    Batches must come in order of lsn, as those of one log do: a merge drops deletes that nothing older needs,
+    and a mutation from before such a delete, arriving after it, would bring its key back.
     """
 
-    def publish(batch: DataFrame, _: int) -> None:
-        store.flush(latest(batch.select("key", "lsn", "tombstone", "value")))
+    def publish(batch: DataFrame, number: int) -> None:
+        store.flush(batch, batch=f"{checkpoint}#{number}")
         store.compact()
 
     return log.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
@@ -56,6 +49,4 @@ def without_retries(requests: DataFrame, delay: str = "10 minutes", ts: str = "t
 
 def windowed_totals(requests: DataFrame, width: str = "1 hour", delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
     """Requests by time window, op and result."""
-    from pyspark.sql import functions as F
-
     return requests.withWatermark(ts, delay).groupBy(F.window(ts, width), "op", "result").agg(F.count(F.lit(1)).alias("requests"))
