@@ -1,13 +1,17 @@
 """The pipeline's stages, each held against brute force on its own input, and the registered queries."""
 
+import math
 import re
+from collections import Counter
 
+import duckdb
 import sentencepiece
 
 import corpus_pipeline as cp
+from tidelog.llm import oracle
 
 from ..conftest import SF
-from .test_texts import PIECES, plain_components, plain_fingerprint, plain_lines
+from .test_texts import PIECES, plain_components, plain_fingerprint, plain_lines, plain_scores
 
 
 def test_stages(spark, tmp_path):
@@ -23,7 +27,10 @@ def test_stages(spark, tmp_path):
             assert out.columns == columns
         docs = out
     before, after = kept["toxicity"]
-    assert {tuple(r) for r in after} <= {tuple(r) for r in before} and after
+    labels = [tuple(r) for r in spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic").collect()]
+    score = plain_scores([(r["doc_id"], r["text"]) for r in before], labels)
+    assert sorted(map(tuple, after)) == sorted(tuple(r) for r in before if score[r["text"]] < 0.3)
+    assert 0 < len(after) < len(before)
     before, after = kept["line_dedup"]
     want = plain_lines([(r["doc_id"], r["text"], r["source"]) for r in before], 10)
     old = {r["doc_id"]: r["text"] for r in before}
@@ -34,7 +41,10 @@ def test_stages(spark, tmp_path):
     before, after = kept["mixing"]
     texts = {r["doc_id"]: r["text"] for r in before}
     assert after and all(texts[r["doc_id"]] == r["text"] for r in after)
-    assert max(sum(1 for r in after if r["doc_id"] == i) for i in texts) <= 3
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/near_duplicate/*.parquet'")
+    taken = con.execute(f"SELECT doc_id, size, taken FROM ({oracle.SQL['op9_mixing']})").fetchall()
+    assert Counter(r["doc_id"] for r in after) == Counter({i: math.floor(t / n + 0.5) for i, n, t in taken if n and t / n >= 0.5})
     before, after = kept["pieces"]
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     assert sorted((r["doc_id"], r["n_tokens"]) for r in after) == sorted((r["doc_id"], len(sp.encode(r["text"] or ""))) for r in before)
@@ -64,9 +74,15 @@ def test_registered():
     assert set(e.oracle_sql()) <= set(names)
 
 
-def test_sql_agrees(spark):
-    import duckdb
+def test_run_leaves_only_what_its_result_reads(spark):
+    from tidelog.llm import common
+
+    before = len(common._made)
+    cp.run(spark, SF).count()
+    assert [p.rpartition("/")[2].rpartition("-")[0] for p in common._made[before:]] == [f"stage-{n}" for n, _ in cp.STAGES[:-1]]
 
+
+def test_sql_agrees(spark):
     from tidelog.llm import queries
 
     con = duckdb.connect()

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -295,15 +296,18 @@ def plain_scores(docs_, labels, k=15):
     df = Counter(w for _, t in docs_ for w in bag(t))
     total, toxic = len(ex), sum(y for _, y in ex)
 
+    bags = [(bag(t), y) for t, y in ex]
+
     def worth(w):
-        a = 0.5 + sum(y for t, y in ex if w in bag(t))
-        b = 0.5 + sum(1 - y for t, y in ex if w in bag(t))
+        a = 0.5 + sum(y for t, y in bags if w in t)
+        b = 0.5 + sum(1 - y for t, y in bags if w in t)
         c, d = toxic + 1 - a, total - toxic + 1 - b
         r = toxicity.FLOOR + max(0, abs(math.log(a * d / b / c)) - 1.96 * math.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
         return (math.log((1 + len(docs_)) / (1 + df[w])) + 1) * r
 
     memo = {}
 
+    @cache
     def vector(t):
         v = {w: (1 + math.log(n)) * (memo[w] if w in memo else memo.setdefault(w, worth(w))) for w, n in bag(t).items()}
         size = math.sqrt(sum(x * x for x in v.values()))
@@ -372,6 +376,17 @@ def plain_seats(weights, seats):
     return {key: sum(1 for _, x, _ in q if x == key) for key in weights}
 
 
+def test_bytes_that_are_no_text_decode_as_the_library_does(spark):
+    import sentencepiece
+
+    sp, e = sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.encoder(PIECES)
+    byte = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
+    word, rng = sp.encode("hello"), random.Random(4)
+    for run in [[0xE2, 0x82], [0xE2, 0x82, 0xAC], [0xFF], [0xF0, 0x9F, 0x98, 0xE2, 0x82], *([rng.choice([0x41, 0x80, 0xBF, 0xC3, 0xE2, 0x82, 0xAC, 0xF0, 0x9F, 0x98, 0x80, 0xED, 0xA0, 0xC0]) for _ in range(rng.randrange(1, 7))] for _ in range(200))]:
+        ids = word + [byte[x] for x in run] + word
+        assert e.decode(ids) == sp.decode(ids), run
+
+
 def test_apportion_is_sainte_lague(spark):
     rng = random.Random(8)
     for case in range(12):

@@ -2,44 +2,52 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.session import ship
+from tidelog import session
+from tidelog.session import discard, ship
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_made: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; the package goes to the executors with the first one."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return session.table(spark, sf_dir, name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    _made.append(session.scratch(spark, name))
+    return _made[-1]
 
-    It is set here only where it is unset, and then only for a local master: on a cluster a
-    temporary folder of one machine would be invisible to the others.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
 
+class Swept:
+    """Deletes, at its end, the scratch paths that were made since its start, but for those in `keep`. What still reads them must be done by then."""
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tidelog/{name}-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession):
+        self.spark, self.start, self.keep = spark, len(_made), set()
+
+    def __enter__(self) -> Swept:
+        return self
+
+    def __exit__(self, *_) -> None:
+        mine, _made[self.start :] = _made[self.start :], []
+        for path in mine:
+            if path not in self.keep:
+                discard(self.spark, path)
+        _made.extend(p for p in mine if p in self.keep)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as tasks run at once, if it is a plain scan of fewer: one file, or one long row group, is one task otherwise."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return df.repartition(tasks) if "Exchange" not in plan and df.rdd.getNumPartitions() < tasks else df
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -50,13 +58,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder; a missing one is no error."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def n_words(text: Column) -> Column:
     """Words in text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import discard, scratch
+from tidelog.llm.common import scratch
+from tidelog.session import discard
 
 
 def _stars(edges: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidelog.llm.common import spread
+
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -322,7 +324,7 @@ def main_text(html: str | None) -> str:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars (code points) of every page, from the whole html; one pass, no shuffle.
+    """page_id, url, text and n_chars (code points) of every page, from the whole html; one pass, no shuffle unless a scan has too few splits.
 
     Null html is empty and gives empty text, as does a page without text. Repeated rows and nulls in
     page_id or url stay as they are; other columns play no part, whatever their names.
@@ -335,4 +337,4 @@ def extracted(pages: DataFrame) -> DataFrame:
                 texts = [main_text(h.as_py()) for h in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(pages["page_id"].cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return spread(pages.select(pages["page_id"].cast("long").alias("page_id"), "url", "html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -20,8 +20,6 @@ from pyspark.sql.window import Window
 
 from tidelog.llm.common import n_words, written
 
-BUCKETS = 16384  # hash buckets of a source; shards are unions of them
-
 
 def apportion(df: DataFrame, by: Sequence[str], key: str, weight: str, seats: str, out: str) -> DataFrame:
     """Sainte-Lague: give each group's `seats` to its rows by the highest weight / (2k + 1).
@@ -93,17 +91,17 @@ def mix(docs: DataFrame, carry: Sequence[str] = (), weights: Sequence[int] = (5,
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     drawn = draw(seed, F.col("doc_id"))
     d = docs.select(F.col("doc_id"), F.col("source"), *([F.struct(*carry).alias("carried")] if carry else []), n_words(F.col("text")).alias("size"), key.alias("_key"), drawn.alias("_draw"))
-    d = d.withColumn("_bucket", F.conv(F.substring("_draw", 1, 8), 16, 10).cast("long") % BUCKETS)
-    cells = written(d.groupBy("_key", "source", "_bucket").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")), "mix-buckets")
-    sources = targets(cells.groupBy("_key", "source").agg(F.sum("size").alias("size"), F.sum("rows").alias("rows")), weights, limit)
+    d = written(d, "mix-sizes")  # texts are split once
+    sources = d.groupBy("_key", "source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    sources = written(targets(sources, weights, limit), "mix-targets")
     sources = sources.withColumn("_blocks", F.round(F.sum("size").over(Window.partitionBy()) / block).cast("long"))
     sources = apportion(sources.withColumn("_one", F.lit(1)), ["_one"], "_key", "target", "_blocks", "_quota")
     plan = written(sources.select("_key", F.col("size").alias("source_size"), "target", "_quota", F.ceil(F.col("rows") / shard_rows).cast("long").alias("_shards")), "mix-sources")
-    shards = cells.select("_key", "_bucket", "size").join(plan.select("_key", "_quota", "_shards"), "_key").withColumn("shard", F.col("_bucket") % F.col("_shards"))
-    shards = shards.groupBy("_key", "_quota", "shard").agg(F.sum("size").alias("_size"))
+    d = d.join(plan, "_key").withColumn("shard", F.conv(F.substring("_draw", 1, 12), 16, 10).cast("long") % F.col("_shards"))
+    shards = written(d.groupBy("_key", "_quota", "shard").agg(F.sum("size").alias("_size")), "mix-shards")
     shards = apportion(shards, ["_key"], "shard", "_size", "_quota", "quota").select("_key", "shard", "_size", "quota")
     shards = shards.withColumn("_take", F.least(F.col("quota") * block, F.floor(F.col("_size") * limit)))
-    d = d.join(plan.select("_key", "source_size", "target", "_shards"), "_key").withColumn("shard", F.col("_bucket") % F.col("_shards"))
+    d = d.drop("_quota")
     run = Window.partitionBy("_key", "shard").orderBy("_draw", F.col("doc_id").asc_nulls_first(), "size")
     d = d.withColumn("_end", F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0)))
     d = d.join(shards, ["_key", "shard"])
@@ -111,4 +109,4 @@ def mix(docs: DataFrame, carry: Sequence[str] = (), weights: Sequence[int] = (5,
     part = F.greatest(F.least(left, F.col("size")), F.lit(0))
     d = d.withColumn("taken", (F.expr("_take div greatest(_size, 1)") * F.col("size") + part).cast("long"))
     d = d.withColumn("copies", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int"))
-    return d.drop("_key", "_draw", "_bucket", "_shards", "_end", "_size", "_take")
+    return d.drop("_key", "_draw", "_shards", "_end", "_size", "_take")

@@ -49,7 +49,7 @@ WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
     coalesce('s' || source, 'n') AS k, md5('42|' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS draw
   FROM documents
-), b AS (SELECT *, ('0x' || substr(draw, 1, 8))::BIGINT % 16384 AS bucket FROM d),
+), b AS (SELECT *, ('0x' || substr(draw, 1, 12))::BIGINT AS bucket FROM d),
 s AS (SELECT k, source, sum(size)::BIGINT AS source_size, CAST(ceil(count(*) / 4096.0::DOUBLE) AS BIGINT) AS shards FROM b GROUP BY ALL),
 w AS (SELECT *, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, source_size * 3.0::DOUBLE AS cap, (sum(source_size) OVER ())::BIGINT AS total FROM s),
 v AS (

@@ -13,6 +13,7 @@ repeat, so their ids are kept in a bounded table.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 from collections.abc import Iterator
@@ -21,6 +22,8 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidelog.llm.common import spread
+
 MARK = "▁"
 KEPT = 200_000  # words whose ids a worker keeps, twice: the latest and those before
 
@@ -170,9 +173,12 @@ class PieceEncoder:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids; the space that encoding puts first goes. Bytes that are no UTF-8 become U+FFFD."""
+        """The text of ids; the space that encoding puts first goes. Each byte that is no part of UTF-8 becomes U+FFFD."""
         surface = self.surface
-        return b"".join([surface[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
+        return b"".join([surface[i] for i in ids]).decode("utf-8", "tidelog_each_byte").removeprefix(" ")
+
+
+codecs.register_error("tidelog_each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 
 @cache
@@ -211,7 +217,7 @@ def decoded(ids: DataFrame, model: str) -> DataFrame:
 def fingerprints(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids and of the text they decode to, for every whole text.
 
-    Ids are read as decimals joined by commas. One pass without a shuffle: a text is encoded, decoded
+    Ids are read as decimals joined by commas. One pass, without a shuffle unless a scan has too few splits: a text is encoded, decoded
     from its ids and digested in the task that reads it. Nulls, ties and clashes as in encoded().
     """
 
@@ -227,4 +233,4 @@ def fingerprints(docs: DataFrame, model: str) -> DataFrame:
                 z.append(hashlib.sha256(e.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(a), pa.array(z)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

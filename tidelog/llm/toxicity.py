@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import written
+from tidelog.llm.common import spread, written
 
 WORD = re.compile(r"\w+")
 LABELLED = 8192  # most labelled rows that are learned from
@@ -314,7 +314,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, k: int =
     source and doc_id are no inputs of a score, and examples of the same text (by a 64-bit hash) don't
     vote for it. Labels other than 0 and 1 count as none. Other columns play no part.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    d = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text"))
     learned = learn(d, labels, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
