@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import scratch, table
+from tidelog.llm.common import Swept, scratch, table
 from tidelog.llm.lines import without_boilerplate
 from tidelog.llm.mixing import mix
 from tidelog.llm.pieces import fingerprints
 from tidelog.llm.simhash import near_duplicates
 from tidelog.llm.toxicity import scored
-from tidelog.session import ship
+from tidelog.session import discard, ship
 
 
 def _same(docs: DataFrame, ids: DataFrame):
@@ -24,7 +24,7 @@ def _same(docs: DataFrame, ids: DataFrame):
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are predicted toxic go."""
+    """Documents that are predicted toxic go. Null and empty texts are scored as texts without words; repeated rows go or stay together; an empty table stays empty, and without labels of both kinds nothing goes."""
     ship(spark)
     d = docs.withColumn("_mark", F.xxhash64("text"))
     bad = scored(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_text"))
@@ -32,7 +32,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many sources hold go from all documents but the first; documents of nothing but such lines go with them."""
+    """Lines that many sources hold go from all documents but the first; documents of nothing but such lines go with them. Null and blank texts stay as they are; see without_boilerplate for ties and repeats."""
     d = without_boilerplate(docs)
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
     d = d.where((F.col("n_removed") == 0) | ~blank)
@@ -42,7 +42,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the smallest doc_id."""
+    """One document of each group of near-duplicates stays: that with the smallest doc_id. Texts without words are one group; equal rows are one; a null doc_id stays."""
     ship(spark)
     kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_text"))
     d = docs.withColumn("_mark", F.xxhash64("text"))
@@ -50,7 +50,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: whole copies, the nearest number to the words it takes."""
+    """Documents as often as the mix takes them: whole copies, the nearest number to the words it takes. Documents without words, null ones too, are taken no time; repeated rows are documents of their own."""
     d = mix(docs, carry=docs.columns)
     return d.where("copies > 0").select("carried", F.explode(F.sequence(F.lit(1), "copies"))).select("carried.*")
 
@@ -70,9 +70,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """documents through all stages. What a stage wrote for itself goes when its result is written, and that when the next one's is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        path = scratch(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with Swept(spark) as made:
+            path = scratch(spark, f"stage-{name}")
+            made.keep.add(path)
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            discard(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
