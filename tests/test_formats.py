@@ -89,3 +89,15 @@ def test_run_tables(spark, tmp_path):
     rows = sorted((bytes(r["key"]), r["tombstone"], None if r["value"] is None else bytes(r["value"])) for r in d.collect())
     assert rows == entries(40)
     assert d.select("gen", "seq").distinct().collect() == [(1, 7)]
+
+
+def test_logs_are_written_and_read_as_a_data_source(spark, tmp_path):
+    spark.dataSource.register(wal.WalSource)
+    d = spark.createDataFrame([(n, i, 1 + (i == 2), f"k{i}".encode(), None if i == 2 else b"v") for n in (1, 2, 3) for i in range(4)], wal.SCHEMA)
+    d.repartition("wal_seq").sortWithinPartitions("wal_seq", "record_no").write.format("tidelog_wal").mode("append").save(f"{tmp_path}/logs")
+    assert sorted(p.name for p in (tmp_path / "logs").iterdir()) == ["wal-1.log", "wal-2.log", "wal-3.log"]
+    key = lambda r: (r["wal_seq"], r["record_no"], r["type"], bytes(r["key"]), r["value"] and bytes(r["value"]))
+    assert sorted(map(key, spark.read.format("tidelog_wal").load(f"{tmp_path}/logs").collect())) == sorted(map(key, d.collect()))
+    with pytest.raises(Exception, match="several tasks"):
+        d.repartition(5, "record_no").write.format("tidelog_wal").mode("append").save(f"{tmp_path}/more")
+    assert not list((tmp_path / "more").iterdir())

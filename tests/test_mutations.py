@@ -101,6 +101,19 @@ def test_a_batch_makes_one_run(spark, tmp_path):
     assert s.manifest.live() == [(0, 2), (0, 1)] == sorted(s.on_disk(), reverse=True)
 
 
+def test_a_manifest_snapshot_says_what_its_files_said(spark, tmp_path):
+    s = RunStore(spark, f"{tmp_path}/s")
+    for i in range(3):
+        s.flush(log(spark, (f"k{i}", "v")), batch=f"q#{i}")
+    s.manifest.commit(drop=[(0, 3)])
+    s.manifest.snapshot()
+    s.manifest.snapshot()
+    assert s.manifest.files() == ["000000000004.snap"]
+    assert s.manifest.live() == [(0, 2), (0, 1)] and s.manifest.next_seq() == 4 and s.manifest.batches() == {"q#2"}
+    assert s.flush(log(spark, ("k9", "v")), batch="q#3") == 4
+    assert s.manifest.files() == ["000000000004.snap", "000000000005.log"] and s.manifest.live()[0] == (0, 4)
+
+
 def test_recovery_replays_logs_in_order_and_removes_them(spark, tmp_path):
     from tidelog.sources import wal
 

@@ -1,6 +1,7 @@
 """Metrics, log traces, hashes, streams and the registered queries."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +98,18 @@ def test_acknowledged(spark):
     assert dict(rows(raftlog.acknowledged(p, a))) == {0: "ok", 1: "not_leader", 2: "error", 3: "error"}
 
 
+def test_rounds_links_and_hints(spark):
+    log = spark.createDataFrame([(i, i // 3) for i in range(5, 11)], "idx long, term long")
+    p = spark.createDataFrame([("new", 1), ("behind", 3), ("near", 9), ("done", 11)], "peer string, next_index long")
+    assert {r[0]: tuple(r[1:]) for r in rows(raftlog.append_requests(log, p))} == {"new": (0, 0, 10, False), "behind": (2, None, 8, True), "near": (8, 2, 2, False), "done": (10, 3, 0, False)}
+    t = spark.createDataFrame([(1, 2, 1, True), (1, 3, 1, True), (3, 1, 2, False), (2, 3, 1, False)], "a int, b int, at int, up boolean")
+    assert rows(raftlog.connected(t, 3)) == [(1, 1, True), (2, 1, True), (3, 0, False)]
+    hints = spark.createDataFrame([(1, 2), (2, 3), (3, 3), (4, 5), (5, 4), (6, None)], "server int, hint int")
+    asks = spark.createDataFrame([(i, i) for i in range(1, 8)], "id int, server int")
+    assert {r[0]: tuple(r[1:]) for r in rows(raftlog.follow_hints(asks, hints))} == {1: (3, 2), 2: (3, 1), 3: (3, 0), 4: (None, 8), 5: (None, 8), 6: (6, 0), 7: (7, 0)}
+    assert all(v >= 0 for v in metrics.process_io().values())
+
+
 def test_gauge_network_and_workload(spark):
     assert metrics.gauge(lambda: 3) == 3 and metrics.gauge(lambda: 1 / 0) == -1
     ids = spark.range(4000)
@@ -200,6 +213,50 @@ def test_stream_windows_and_retries(spark, tmp_path):
     assert sorted((r["op"], r["requests"]) for r in spark.table("totals").collect()) == [("get", 2), ("put", 1)]
 
 
+def test_stream_metrics_and_errors(spark, tmp_path):
+    from tidelog.streaming.monitor import Latch, StreamMetrics, progress
+
+    spark.range(10).write.parquet(f"{tmp_path}/in")
+    seen = StreamMetrics()
+    spark.streams.addListener(seen)
+    s = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
+    good = s.writeStream.format("noop").trigger(availableNow=True).start()
+    good.awaitTermination()
+
+    def fail(*_):
+        raise ValueError("no")
+
+    bad = s.writeStream.foreachBatch(fail).trigger(availableNow=True).start()
+    latch = Latch([good])
+    latch.add(bad)
+    with pytest.raises(Exception, match="no"):
+        bad.awaitTermination()
+    assert sum(r["input_rows"] for r in progress(spark, good).collect()) == 10
+    first = latch.error()
+    assert first is not None and latch.error() is first
+    with pytest.raises(type(first)):
+        latch.close()
+    for _ in range(100):
+        if seen.errors and seen.totals.get(str(good.id), {}).get("input_rows"):
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(seen)
+    assert seen.totals[str(good.id)]["input_rows"] == 10 and f'stream_input_rows{{query="{good.id}"}} 10' in seen.text()
+
+
+def test_nearest_rank_of_one_value_nulls_and_many(spark):
+    import random
+
+    rng = random.Random(2)
+    data = [("a", rng.gauss(0, 5)) for _ in range(3000)] + [("b", 1.5)] * 7 + [(None, 2.0), ("c", None)]
+    d = spark.createDataFrame(data, "g string, v double")
+    want = []
+    for g in ("a", "b", None):
+        v = sorted(x for k, x in data if k == g and x is not None)
+        want.append((g, len(v), *(v[min(int(p * len(v)), len(v) - 1)] for p in (0.5, 0.9, 0.99)), v[-1]))
+    assert rows(metrics.nearest_rank(d, ["g"], "v")) == sorted(want, key=repr)
+
+
 def plain(v):
     """Numbers of both engines as floats, times as text."""
     if isinstance(v, datetime.datetime):

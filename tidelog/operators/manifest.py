@@ -46,7 +46,7 @@ class Manifest:
     is the last one of the last file: a silently shortened manifest would make live runs look orphaned.
     """
 
-    NAME = re.compile(r"^\d{12}\.log$")
+    NAME = re.compile(r"^\d{12}\.(?:log|snap)$")
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -57,10 +57,44 @@ class Manifest:
         return Path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), Path
 
     def files(self) -> list[str]:
+        """The newest snapshot, if any, and the files after it, in order."""
         fs, Path = self.fs()
         if not fs.exists(Path(self.path)):
             return []
-        return sorted(n for s in fs.listStatus(Path(self.path)) if self.NAME.match(n := s.getPath().getName()))
+        names = sorted(n for s in fs.listStatus(Path(self.path)) if self.NAME.match(n := s.getPath().getName()))
+        last = max((n for n in names if n.endswith(".snap")), default="")
+        return ([last] if last else []) + [n for n in names if n.endswith(".log") and n[:12] > last[:12]]
+
+    def snapshot(self) -> None:
+        """Restate what all files say in one, named after the last of them, then delete those before it.
+
+        Live runs, the largest number ever used, and the last batch of each stream are kept. Readers that
+        list the folder before or after see the same; so does one that fails and lists it again. One writer
+        at a time, as with commits.
+        """
+        files = self.files()
+        if not any(f.endswith(".log") for f in files):
+            return
+        live, top = self.live(), self.next_seq() - 1
+        last: dict[str, str] = {}
+        for b in sorted(self.batches(), key=lambda b: (len(b), b)):
+            last[b.rpartition("#")[0] or b] = b
+        body = "".join(f"ADD {g} {s}\n" for g, s in sorted(live)) + (f"DEL 0 {top}\n" if top and top not in {s for _, s in live} else "") + "".join(f"BATCH {b}\n" for b in last.values())
+        fs, Path = self.fs()
+        self._put(f"{files[-1][:12]}.snap", body)
+        for f in files:
+            fs.delete(Path(f"{self.path}/{f}"), False)
+
+    def _put(self, name: str, body: str) -> None:
+        fs, Path = self.fs()
+        target, temporary = f"{self.path}/{name}", f"{self.path}/.{name}.tmp"
+        stream = fs.create(Path(temporary), True)
+        try:
+            stream.write(bytearray(body.encode()))
+        finally:
+            stream.close()
+        if fs.exists(Path(target)) or not fs.rename(Path(temporary), Path(target)):
+            raise RuntimeError(f"{target} was published by another writer")
 
     def lines(self) -> list[str]:
         """All lines of all files, in order. A malformed line is an error unless it is the last of the last file."""
@@ -102,15 +136,6 @@ class Manifest:
 
     def commit(self, add: list[tuple[int, int]] = (), drop: list[tuple[int, int]] = (), batch: str | None = None) -> None:
         """Publish additions, removals and a batch's name together. A file of the same number, from another writer, makes this fail."""
-        fs, Path = self.fs()
         files = self.files()
         number = int(files[-1][:12]) + 1 if files else 1
-        target, temporary = f"{self.path}/{number:012d}.log", f"{self.path}/.{number:012d}.tmp"
-        body = "".join(f"ADD {g} {s}\n" for g, s in add) + "".join(f"DEL {g} {s}\n" for g, s in drop) + (f"BATCH {batch}\n" if batch is not None else "")
-        stream = fs.create(Path(temporary), True)
-        try:
-            stream.write(bytearray(body.encode()))
-        finally:
-            stream.close()
-        if fs.exists(Path(target)) or not fs.rename(Path(temporary), Path(target)):
-            raise RuntimeError(f"{target} was published by another writer")
+        self._put(f"{number:012d}.log", "".join(f"ADD {g} {s}\n" for g, s in add) + "".join(f"DEL {g} {s}\n" for g, s in drop) + (f"BATCH {batch}\n" if batch is not None else ""))

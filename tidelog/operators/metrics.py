@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,19 +26,33 @@ def latency_histogram(log: DataFrame, by: Sequence[str], value: str, buckets: Se
     return d.select(*by, "sum", F.explode(F.array(*cells)).alias("b")).select(*by, "b.le", "b.hits", "sum")
 
 
-def nearest_rank(log: DataFrame, by: Sequence[str], value: str, ps: Sequence[float] = (0.5, 0.9, 0.99)) -> DataFrame:
+def nearest_rank(log: DataFrame, by: Sequence[str], value: str, ps: Sequence[float] = (0.5, 0.9, 0.99), bins: int = 4096) -> DataFrame:
     """By group: n, max and for each p the value at place min(floor(p * n), n - 1) of the sorted values.
 
-    The places are picked from a histogram of distinct values and its running sum, so a hot group is
-    summed where its rows lie and only its distinct values meet in one task.
+    Each group's range is cut into bins, whose counts say which bin holds each place; only the distinct values
+    of those bins are sorted. No task sorts a group, whether it holds few values or as many as rows.
     """
-    h = log.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    run = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    h = h.withColumns({"_end": F.sum("_c").over(run), "_n": F.sum("_c").over(whole)})
-    at = lambda p: F.min(F.when(F.col("_end") > F.least(F.floor(F.lit(p) * F.col("_n")), F.col("_n") - 1), F.col(value)))
     name = lambda p: f"p{p * 100:g}".replace(".", "_")
-    return h.groupBy(*by).agg(F.max("_n").alias("n"), *(at(p).alias(name(p)) for p in ps), F.max(value).alias("max"))
+    d = log.where(F.col(value).isNotNull()).select(*by, value)
+    key = [F.col(c) for c in by]
+    ends = d.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count(F.lit(1)).alias("_n"))
+    ends = ends.select(*(c.alias(f"_by{i}") for i, c in enumerate(key)), "_low", "_high", "_n")
+    same = lambda a, b: functools.reduce(Column.__and__, (F.col(f"{a}{i}").eqNullSafe(F.col(f"{b}{i}")) for i in range(len(by))), F.lit(True))
+    h = d.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")).select(*(c.alias(f"_k{i}") for i, c in enumerate(key)), F.col(value).alias("_v"), "_c")
+    width = (F.col("_high").cast("double") - F.col("_low").cast("double")) / bins
+    place = F.when(width > 0, F.least(F.floor((F.col("_v").cast("double") - F.col("_low").cast("double")) / width), F.lit(bins - 1))).otherwise(0)
+    h = h.join(ends, same("_k", "_by")).withColumn("_bin", place)
+    groups = [f"_by{i}" for i in range(len(by))]
+    counts = h.groupBy(*groups, "_low", "_high", "_n", "_bin").agg(F.sum("_c").alias("_c"))
+    counts = counts.withColumn("_end", F.sum("_c").over(Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)))
+    ranks = F.array(*(F.struct(F.lit(i).alias("i"), F.least(F.floor(F.lit(p) * F.col("_n")), F.col("_n") - 1).alias("r")) for i, p in enumerate(ps)))
+    asked = F.filter(ranks, lambda x: (x["r"] < F.col("_end")) & (x["r"] >= F.col("_end") - F.col("_c")))
+    picked = counts.withColumn("_asked", asked).where(F.size("_asked") > 0).select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), F.col("_bin").alias("_at"), "_asked", (F.col("_end") - F.col("_c")).alias("_before"))
+    run = Window.partitionBy(*groups, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    inner = h.join(picked, same("_by", "_g") & (F.col("_bin") == F.col("_at"))).withColumn("_end", F.col("_before") + F.sum("_c").over(run))
+    at = lambda i: F.min(F.when(F.exists("_asked", lambda x: (x["i"] == i) & (x["r"] < F.col("_end"))), F.col("_v")))
+    out = inner.groupBy(*groups).agg(F.max("_n").alias("n"), *(at(i).alias(name(p)) for i, p in enumerate(ps)), F.max("_high").alias("max"))
+    return out.select(*(F.col(g).alias(c) for g, c in zip(groups, by, strict=True)), "n", *(name(p) for p in ps), "max")
 
 
 def load_report(log: DataFrame, seconds: float) -> DataFrame:
@@ -99,3 +114,12 @@ def unreliable(messages: DataFrame, seed: int = 1) -> DataFrame:
     wait = draw("delay", 27) + F.when(draw("late", 900) < 600, 200 + draw("by", 2000)).otherwise(0)
     d = messages.withColumn("outcome", outcome)
     return d.withColumn("arrived_ms", F.when(F.col("outcome") == "delivered", F.col("sent_ms") + wait))
+
+
+def process_io() -> dict[str, int]:
+    """The driver process's own counters of bytes read and written, where the system tells them; empty elsewhere."""
+    try:
+        with open("/proc/self/io") as f:
+            return {k: int(v) for k, v in (line.split(": ") for line in f)}
+    except OSError:
+        return {}

@@ -18,6 +18,17 @@ def up_to_date(last_term: Column, last_index: Column, own_term: Column, own_inde
     return F.struct(last_term.alias("t"), last_index.alias("i")) >= F.struct(own_term.alias("t"), own_index.alias("i"))
 
 
+def possible_votes(peers: DataFrame) -> DataFrame:
+    """peer and votes: how many others of its group have a log that is no newer than its own. peers: group_id, peer, last_term, last_index.
+
+    Equal logs are counted once and summed from below, so no pair of peers is made.
+    """
+    at = peers.groupBy("group_id", "last_term", "last_index").agg(F.count(F.lit(1)).alias("_c"))
+    below = Window.partitionBy("group_id").orderBy("last_term", "last_index").rowsBetween(Window.unboundedPreceding, 0)
+    at = at.withColumn("_b", F.sum("_c").over(below)).drop("_c")
+    return peers.join(at, ["group_id", "last_term", "last_index"]).select("peer", (F.col("_b") - 1).alias("votes"))
+
+
 def grants(requests: DataFrame) -> DataFrame:
     """granted for each vote request (term, candidate, last_term, last_index, own_term, voted_for, own_last_term, own_last_index).
 
@@ -202,3 +213,63 @@ def election_violations(claims: DataFrame) -> DataFrame:
 def current_leader(claims: DataFrame) -> DataFrame:
     """One row: the leader of the highest term (null without claims) and whether there is none."""
     return claims.agg(F.max_by("server", "term").alias("leader"), (F.count(F.lit(1)) == 0).alias("no_leader"))
+
+
+def append_requests(leader: DataFrame, progress: DataFrame) -> DataFrame:
+    """What a leader sends each peer in a round: peer, prev_idx, prev_term, entries, and whether it must be a snapshot.
+
+    leader: idx, term; progress: peer, next_index. Entries from next_index on are due; where the entry before is
+    compacted away (below the log's first), only a snapshot can help. Index 0 has term 0.
+    """
+    ends = leader.agg(F.min("idx").alias("_first"), F.max("idx").alias("_last"))
+    d = progress.join(F.broadcast(ends)).withColumn("prev_idx", F.col("next_index") - 1)  # one row
+    d = d.join(leader.select(F.col("idx").alias("prev_idx"), F.col("term").alias("_term")), "prev_idx", "left")
+    snapshot = (F.col("prev_idx") < F.col("_first")) & (F.col("prev_idx") > 0)
+    return d.select("peer", "prev_idx", F.when(F.col("prev_idx") == 0, 0).otherwise(F.col("_term")).cast("long").alias("prev_term"), F.greatest(F.col("_last") - F.col("prev_idx"), F.lit(0)).alias("entries"), snapshot.alias("snapshot"))
+
+
+def connected(toggles: DataFrame, peers: int) -> DataFrame:
+    """server, links and majority: how many others each server's last known links reach, and whether that makes a quorum with itself.
+
+    toggles: a, b, at, up (links are of both directions). A link that was never named is down.
+    """
+    both = toggles.select("a", "b", "at", "up").unionByName(toggles.select(F.col("b").alias("a"), F.col("a").alias("b"), "at", "up")).where("a <> b")
+    last = both.groupBy(F.col("a").alias("server"), "b").agg(F.max_by("up", "at").alias("up"))
+    d = last.groupBy("server").agg(F.count_if("up").alias("links"))
+    return d.withColumn("majority", (F.col("links") + 1) * 2 > peers)
+
+
+def follow_hints(asks: DataFrame, hints: DataFrame, most: int = 8) -> DataFrame:
+    """id, leader and redirects of asks (id, server) that follow hints (server, hint) until a server names itself or none; leader is null after `most` redirects.
+
+    Servers are few, so their chains are followed by joins of hints with hints; asks are joined once.
+    """
+    at = hints.select("server", F.col("server").alias("_at"), F.lit(0).alias("redirects"))
+    nxt = hints.select(F.col("server").alias("_at"), F.when(F.col("hint") != F.col("server"), F.col("hint")).alias("_to"))
+    for _ in range(most):
+        at = at.join(nxt, "_at", "left").select("server", F.coalesce("_to", "_at").alias("_at"), (F.col("redirects") + F.col("_to").isNotNull().cast("int")).alias("redirects"))
+    at = at.join(nxt, "_at", "left").select("server", F.when(F.col("_to").isNull(), F.col("_at")).alias("leader"), "redirects")
+    d = asks.join(at, "server", "left")
+    known = F.col("redirects").isNotNull()
+    return d.select("id", F.when(known, F.col("leader")).otherwise(F.col("server")).alias("leader"), F.coalesce("redirects", F.lit(0)).alias("redirects"))
+
+
+def save_state(states: DataFrame, logs: DataFrame, store) -> None:
+    """Make (server, term, voted_for, last_included) and the logs (server, idx, term, command) durable together.
+
+    Both are one run of a RunStore with string values: keys s/<server> and l/<server>/<index>. A save
+    replaces what is there, entries that the logs no longer hold included, and is one manifest file.
+    """
+    s = states.select(F.concat(F.lit("s/"), F.col("server").cast("string")).alias("key"), F.to_json(F.struct("term", "voted_for", "last_included")).alias("value"))
+    entry = F.concat_ws("/", F.lit("l"), F.col("server").cast("string"), F.lpad(F.col("idx").cast("string"), 19, "0"))
+    rows = s.unionByName(logs.select(entry.alias("key"), F.to_json(F.struct("term", "command")).alias("value")))
+    store.replace(rows.select("key", F.lit(0).cast("long").alias("lsn"), F.lit(False).alias("tombstone"), "value"))
+
+
+def load_state(store) -> tuple[DataFrame, DataFrame]:
+    """What save_state has last made durable: states and logs; empty ones where nothing has."""
+    d = store.read()
+    server = F.split("key", "/")[1].cast("int")
+    states = d.where(F.col("key").startswith("s/")).select(server.alias("server"), F.from_json("value", "term long, voted_for int, last_included long").alias("v")).select("server", "v.*")
+    logs = d.where(F.col("key").startswith("l/")).select(server.alias("server"), F.split("key", "/")[2].cast("long").alias("idx"), F.from_json("value", "term long, command string").alias("v")).select("server", "idx", "v.*")
+    return states, logs

@@ -105,6 +105,13 @@ class RunStore:
         self.manifest.commit(add=[(0, seq)], batch=batch)
         return seq
 
+    def replace(self, log: DataFrame) -> int:
+        """Publish log as the only run, all others out, in one manifest file; its number."""
+        old, seq = self.manifest.live(), self.manifest.next_seq()
+        self._write(latest(log.select("key", "lsn", "tombstone", "value")), 0, seq)
+        self.manifest.commit(add=[(0, seq)], drop=old)
+        return seq
+
     def compact(self) -> int:
         """Merge the lowest tier with `fanout` runs into the next one until no tier qualifies; the number of merges.
 

@@ -310,6 +310,23 @@ def acknowledged(spark, sf_dir):
     return raftlog.acknowledged(leader, _logs(spark, sf_dir)[1].join(when, "idx"))
 
 
+def append_requests(spark, sf_dir):
+    """A round of appends to suppliers as peers, from a log whose first hundred entries are compacted away."""
+    leader = _logs(spark, sf_dir)[0].where("idx >= 100")
+    return raftlog.append_requests(leader, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("peer"), (F.col("s_suppkey") * 7 % 900 + 1).alias("next_index")))
+
+
+def connected(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("a"), (F.col("event_id") % 7).alias("b"), F.col("event_id").alias("at"), (F.col("value") < 60).alias("up"))
+    return raftlog.connected(e, 7)
+
+
+def follow_hints(spark, sf_dir):
+    """Each customer asks the server of its nation, which names that of its region's number, until one names itself."""
+    hints = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("server"), F.col("n_regionkey").alias("hint"))
+    return raftlog.follow_hints(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("server")), hints)
+
+
 def line_tokens(spark, sf_dir):
     """Words of each part's name, joined again and quoted."""
     from tidelog.functions.hashing import quoted, tokens
@@ -343,11 +360,9 @@ def log_suffix_replacement(spark, sf_dir):
 
 
 def vote_up_to_date(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
-    a, b = s.alias("a"), s.alias("b")
-    d = a.join(b, (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") != F.col("b.s_suppkey")))
-    ok = raftlog.up_to_date(F.col("a.s_suppkey") % 3, F.col("a.s_suppkey") % 11, F.col("b.s_suppkey") % 3, F.col("b.s_suppkey") % 11)
-    return d.where(ok).select(F.col("a.s_suppkey").alias("candidate"), F.col("b.s_suppkey").alias("voter"))
+    """Suppliers as peers of their nations: how many of the others would find each one's log new enough."""
+    n = F.col("s_suppkey")
+    return raftlog.possible_votes(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("group_id"), n.alias("peer"), (n % 3).alias("last_term"), (n % 11).alias("last_index")))
 
 
 def election_winners(spark, sf_dir):
@@ -446,12 +461,15 @@ SQL = {
     "apply_gaps": "SELECT * FROM (SELECT server, arrival, idx, lag(idx) OVER (PARTITION BY server ORDER BY arrival) + 1 AS expected FROM (SELECT user_id % 5 AS server, event_id AS arrival, CAST(floor(event_id / 5 + CASE WHEN value > 250 THEN 1 ELSE 0 END) AS BIGINT) AS idx FROM events)) WHERE expected <> idx",
     "silent_gaps": "WITH s AS (SELECT user_id AS server, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1800500 MILLISECONDS THEN 0 ELSE 1 END AS fresh FROM events), g AS (SELECT *, sum(fresh) OVER (PARTITION BY server ORDER BY ts, fresh DESC ROWS UNBOUNDED PRECEDING) AS n FROM s) SELECT server, min(ts) AS start, max(ts) + INTERVAL 1800500 MILLISECONDS AS \"end\", count(*) AS beats FROM g GROUP BY server, n",
     "acknowledged": "SELECT event_id AS id, CASE WHEN event_type = 'view' OR user_id % 4 > 2 THEN 'error' WHEN event_id > 4000 + user_id % 5 * 500 THEN 'not_leader' ELSE 'ok' END AS outcome FROM events",
+    "append_requests": f"WITH {_LOGS}, l AS (SELECT * FROM leader WHERE idx >= 100), p AS (SELECT s_suppkey AS peer, s_suppkey * 7 % 900 AS prev_idx FROM supplier) SELECT peer, prev_idx, CASE WHEN prev_idx = 0 THEN 0 ELSE term END AS prev_term, greatest((SELECT max(idx) FROM l) - prev_idx, 0) AS entries, prev_idx < (SELECT min(idx) FROM l) AND prev_idx > 0 AS snapshot FROM p LEFT JOIN l ON l.idx = p.prev_idx",
+    "connected": "WITH t AS (SELECT user_id % 7 AS a, event_id % 7 AS b, event_id AS at_, value < 60 AS up FROM events), b AS (SELECT * FROM t UNION ALL SELECT b, a, at_, up FROM t), l AS (SELECT a AS server, b, max_by(up, at_) AS up FROM b WHERE a <> b GROUP BY a, b) SELECT server, count(*) FILTER (up) AS links, (count(*) FILTER (up) + 1) * 2 > 7 AS majority FROM l GROUP BY server",
+    "follow_hints": "WITH RECURSIVE h AS (SELECT n_nationkey AS server, n_nationkey AS at_, 0 AS redirects FROM nation UNION ALL SELECT server, n_regionkey, redirects + 1 FROM h JOIN nation ON n_nationkey = at_ WHERE n_regionkey <> at_ AND redirects < 20), l AS (SELECT server, arg_max(at_, redirects) AS leader, max(redirects) AS redirects FROM h GROUP BY server) SELECT c_custkey AS id, CASE WHEN redirects < 9 THEN leader END AS leader, least(redirects, 8) AS redirects FROM customer JOIN l ON server = c_nationkey",
     "line_tokens": "SELECT p_partkey, CAST(len(t) AS BIGINT) AS words, '\"' || replace(array_to_string(t, '\" '), '\"', '\\\"') || '\"' AS line FROM (SELECT p_partkey, list_filter(regexp_split_to_array(p_name || '  ' || p_type, '\\s+'), lambda x: x <> '') AS t FROM part)",
     "run_names": f"WITH {_TIERS} SELECT 'sst-' || gen || '-' || seq || '.sst' AS name, 'wal-' || seq || '.log' AS log, CAST(gen AS BIGINT) AS gen, seq FROM tiers",
     "numbers_as_bytes": "WITH n AS (SELECT o_orderkey, o_orderkey * 1000003 AS n FROM orders), g AS (SELECT *, list_filter(range(10), lambda i: i = 0 OR n >= 128::HUGEINT ** i) AS places FROM n) SELECT o_orderkey, array_to_string(list_transform(places, lambda i: printf('%02X', CAST(n // CAST(128 ** i AS BIGINT) % 128 + CASE WHEN i < len(places) - 1 THEN 128 ELSE 0 END AS BIGINT))), '') AS varint, printf('%016X', n) AS big_endian, n % 4294967296 AS low, n FROM g",
     "checksums": "WITH t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) AS c FROM range(256) r(i))), b AS (SELECT event_id, list_transform(range(1, length(props) + 1), lambda i: CAST(ascii(substr(props, i, 1)) AS BIGINT)) AS b FROM events) SELECT event_id, xor(list_reduce(list_prepend(4294967295, b), lambda h, x: xor(h >> 8, t[xor(h & 255, x) + 1])), 4294967295) AS crc FROM b, t",
     "log_suffix_replacement": f"WITH {_LOGS}, incoming AS (SELECT server, f.idx, l.term, f.idx * 10 AS command FROM follower f JOIN leader l ON f.idx = l.idx WHERE f.idx % 2 = 0), cut AS (SELECT f.server, min(f.idx) AS cut FROM follower f JOIN incoming i ON f.server = i.server AND f.idx = i.idx WHERE f.term <> i.term GROUP BY f.server), kept AS (SELECT f.server, f.idx, f.term, f.idx AS command FROM follower f LEFT JOIN cut c ON f.server = c.server WHERE c.cut IS NULL OR f.idx < c.cut) SELECT * FROM kept UNION ALL SELECT i.* FROM incoming i WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.server = i.server AND k.idx = i.idx)",
-    "vote_up_to_date": "SELECT a.s_suppkey AS candidate, b.s_suppkey AS voter FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey WHERE a.s_suppkey % 3 > b.s_suppkey % 3 OR (a.s_suppkey % 3 = b.s_suppkey % 3 AND a.s_suppkey % 11 >= b.s_suppkey % 11)",
+    "vote_up_to_date": "SELECT a.s_suppkey AS peer, count(b.s_suppkey) AS votes FROM supplier a LEFT JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey AND (a.s_suppkey % 3 > b.s_suppkey % 3 OR (a.s_suppkey % 3 = b.s_suppkey % 3 AND a.s_suppkey % 11 >= b.s_suppkey % 11)) GROUP BY a.s_suppkey",
     "election_winners": "SELECT CAST(floor(event_id / 10) AS BIGINT) AS term, user_id % 2 AS candidate, count(DISTINCT event_id % 10) AS votes FROM events WHERE value < 100 GROUP BY ALL HAVING count(DISTINCT event_id % 10) * 2 > 10",
     "election_safety": "SELECT CAST(floor(event_id / 50) AS BIGINT) AS term, count(DISTINCT user_id) AS leaders FROM events WHERE event_type = 'signup' AND value > 150 GROUP BY 1 HAVING count(DISTINCT user_id) > 1",
     "current_leader": "SELECT max_by(server, term) AS leader, count(*) = 0 AS no_leader FROM (SELECT CAST(floor(event_id / 50) AS BIGINT) AS term, min(user_id) AS server FROM events WHERE event_type = 'signup' AND value > 150 GROUP BY 1)",
@@ -467,7 +485,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         as_of_lsn, base_plus_tail, manifest_live, orphan_runs, replace_subset, request_totals, latency_histogram, latency_nearest_rank, load_report, write_amp,
         throughput_windows, commit_index, commit_index_by_rank, leader_commit, stale_reply_filter, state_machine_safety, commit_counts, log_first_conflict,
         append_consistency, next_index, log_compaction, snapshot_install, propose, vote_grants, follower_commit, applicable_entries, apply_gaps, silent_gaps, acknowledged,
-        line_tokens, run_names, numbers_as_bytes, kv_ordered_walk, log_suffix_replacement, vote_up_to_date, election_winners, election_safety, current_leader, leader_hint,
+        append_requests, connected, follow_hints, line_tokens, run_names, numbers_as_bytes, kv_ordered_walk, log_suffix_replacement, vote_up_to_date, election_winners, election_safety, current_leader, leader_hint,
         shard_histogram, checksums,
     )
     from tidelog.plans import stores

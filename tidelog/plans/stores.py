@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.operators import metrics, mutations, runs
+from tidelog.operators import manifest, metrics, mutations, raftlog, runs
 from tidelog.operators.runs import RunStore
-from tidelog.plans.catalogue import _LOG, _TOP, _run, _state, log
+from tidelog.plans.catalogue import _LOG, _TOP, AS_OF, _state, log
 from tidelog.session import scratch, ship, table
 from tidelog.sources import sst, wal
-from tidelog.streaming import state
+from tidelog.streaming import monitor, state
 
 PARTS = 8  # flushes and files of a stream
 
@@ -79,6 +79,7 @@ def store_cascade(spark, sf_dir):
 def store_manifest(spark, sf_dir):
     """The store's live runs after the same, in the order that readers ask them."""
     store = _store(spark, sf_dir)
+    store.manifest.snapshot()
     store.clean(0)
     on_disk = set(store.on_disk())
     return spark.createDataFrame([(g, s, place, (g, s) in on_disk) for place, (g, s) in enumerate(store.manifest.live(), 1)], "gen int, seq long, place int, on_disk boolean")
@@ -138,6 +139,34 @@ def stream_windows(spark, sf_dir):
     return d.groupBy(F.col("window.start").alias("window_start"), "op", "result").agg(F.max_by("requests", "batch").alias("requests"))
 
 
+def stream_progress(spark, sf_dir):
+    """What a stream told of itself: batches with rows, and their rows."""
+    path = scratch(spark, "stream")
+    q = state.to_folder(_files(spark, sf_dir, F.col("event_id")), f"{path}/out", f"{path}/checkpoint", "append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return monitor.progress(spark, q).where("input_rows > 0").agg(F.count(F.lit(1)).alias("batches"), F.sum("input_rows").alias("input_rows"))
+
+
+def manifest_text(spark, sf_dir):
+    """Manifest lines by customer, read up to the first bad one of each; what is live after that."""
+    o = table(spark, sf_dir, "orders")
+    verb = F.when(F.col("o_orderstatus") == "F", "DEL").when(F.col("o_totalprice") > 400000, "NOTE").otherwise("ADD")
+    line = F.when(F.col("o_totalprice") < 2000, "ADD 0").otherwise(F.concat_ws(" ", verb, F.lit("0"), F.col("o_orderkey").cast("string")))
+    return manifest.live_set(manifest.parse_log(o.select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("pos"), line.alias("line"))), "file", "gen", "seq")
+
+
+def state_snapshot(spark, sf_dir):
+    """Servers' terms, votes and logs made durable twice, the second time with shorter logs, and read back."""
+    e = table(spark, sf_dir, "events")
+    logs = e.select((F.col("user_id") % 5).cast("int").alias("server"), F.col("event_id").alias("idx"), F.floor(F.col("event_id") / 700).alias("term"), F.col("event_type").alias("command"))
+    states = logs.groupBy("server").agg(F.max("term").alias("term"), (F.col("server") % 3).cast("int").alias("voted_for"), F.lit(AS_OF).cast("long").alias("last_included"))
+    store = RunStore(spark, scratch(spark, "state"))
+    raftlog.save_state(states, logs, store)
+    raftlog.save_state(states, logs.where(F.col("idx") > AS_OF), store)
+    s, l = raftlog.load_state(store)
+    return l.join(s.withColumnRenamed("term", "current_term"), "server")
+
+
 def live_keys_over_time(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     d = e.select("ts", F.col("user_id").alias("key"), F.col("event_id").alias("lsn"), (F.col("event_type") == "error").alias("tombstone"))
@@ -201,6 +230,9 @@ SQL = {
     "stream_flush": f"WITH {_LOG} SELECT key, lsn, value FROM log l WHERE NOT tombstone AND NOT EXISTS (SELECT 1 FROM log m WHERE m.key = l.key AND m.lsn > l.lsn)",
     "stream_retries": "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS requests FROM events GROUP BY ALL",
     "stream_windows": "SELECT date_trunc('hour', ts) AS window_start, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS op, CASE WHEN value > 200 THEN 'error' ELSE 'ok' END AS result, count(*) AS requests FROM events GROUP BY ALL",
+    "stream_progress": f"SELECT CAST({PARTS} AS BIGINT) AS batches, count(*) AS input_rows FROM events",
+    "manifest_text": "WITH o AS (SELECT o_custkey AS file, o_orderkey AS pos, o_totalprice < 2000 AS bad, CASE WHEN o_orderstatus = 'F' THEN 'DEL' WHEN o_totalprice > 400000 THEN 'NOTE' ELSE 'ADD' END AS op FROM orders), w AS (SELECT *, min(CASE WHEN bad THEN pos END) OVER (PARTITION BY file) AS cut FROM o) SELECT file, 0 AS gen, pos AS seq FROM w WHERE (cut IS NULL OR pos < cut) AND op = 'ADD'",
+    "state_snapshot": f"WITH l AS (SELECT CAST(user_id % 5 AS INTEGER) AS server, event_id AS idx, CAST(floor(event_id / 700) AS BIGINT) AS term, event_type AS command FROM events), s AS (SELECT server, max(term) AS current_term, CAST(server % 3 AS INTEGER) AS voted_for, CAST({AS_OF} AS BIGINT) AS last_included FROM l GROUP BY server) SELECT server, idx, term, command, current_term, voted_for, last_included FROM l JOIN s USING (server) WHERE idx > {AS_OF}",
     "live_keys_over_time": "WITH c AS (SELECT ts, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END - coalesce(lag(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS c FROM events), h AS (SELECT date_trunc('hour', ts) AS window_start, sum(c) AS c FROM c GROUP BY 1) SELECT window_start, CAST(sum(c) OVER (ORDER BY window_start ROWS UNBOUNDED PRECEDING) AS BIGINT) AS live_keys FROM h",
     "key_count_gauge": f"WITH {_LOG}, {_TOP} SELECT count(*) AS live_keys, CAST(-1 AS BIGINT) AS unreadable FROM top WHERE NOT tombstone",
     "workload": f"SELECT CASE WHEN {_draw('op', 'event_id')} % 100 < 50 THEN 'put' ELSE 'get' END AS op, count(*) AS ops, count(DISTINCT {_draw('key', 'event_id')} % 10000) AS keys FROM events GROUP BY 1",
@@ -214,6 +246,6 @@ SQL = {
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         wal_replay, wal_recovery, sst_scan, sst_get, store_cascade, store_manifest, stream_lww, stream_out_of_order, stream_flush, stream_retries, stream_windows,
-        live_keys_over_time, key_count_gauge, workload, unreliable_network, runs_out_of_order, newest_runs_first, write_amp_on_disk,
+        stream_progress, manifest_text, state_snapshot, live_keys_over_time, key_count_gauge, workload, unreliable_network, runs_out_of_order, newest_runs_first, write_amp_on_disk,
     )
     return {f.__name__: f for f in found}

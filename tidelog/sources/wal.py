@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import itertools
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from tidelog.functions import varint
@@ -156,8 +158,54 @@ class WalReader(DataSourceReader):
         yield from _batches(log_seq(partition.path), replay(data))
 
 
+@dataclass
+class WrittenLogs(WriterCommitMessage):
+    """What one task has written: temporary file and number of each log."""
+
+    logs: list[tuple[str, int]]
+
+
+class WalWriter(DataSourceWriter):
+    """Writes rows of SCHEMA, sorted by wal_seq and record_no in their task, as log files that appear together when all tasks are done."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def _files(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+
+    def write(self, iterator) -> WrittenLogs:
+        files, root = self._files()
+        files.create_dir(root, recursive=True)
+        logs: list[tuple[str, int]] = []
+        for seq, rows in itertools.groupby(iterator, key=lambda r: r["wal_seq"]):
+            logs.append((f"{root}/.{uuid.uuid4().hex}.tmp", seq))
+            with files.open_output_stream(logs[-1][0], compression=None) as out:
+                for r in rows:
+                    out.write(frame(r["type"], bytes(r["key"]), None if r["value"] is None else bytes(r["value"])))
+        return WrittenLogs(logs)
+
+    def commit(self, messages) -> None:
+        files, root = self._files()
+        logs = [x for m in messages if m is not None for x in m.logs]
+        seqs = [seq for _, seq in logs]
+        if len(set(seqs)) < len(seqs):
+            self.abort(messages)
+            raise ValueError("a log's records lie in several tasks or out of order: repartition by wal_seq and sort within")
+        for temporary, seq in logs:
+            files.move(temporary, f"{root}/wal-{seq}.log")
+
+    def abort(self, messages) -> None:
+        files, _ = self._files()
+        for m in messages:
+            for temporary, _ in m.logs if m is not None else ():
+                files.delete_file(temporary)
+
+
 class WalSource(DataSource):
-    """spark.read.format("tidelog_wal").load(folder); register it with spark.dataSource.register(WalSource)."""
+    """spark.read.format("tidelog_wal").load(folder), df.write.format("tidelog_wal").mode("append").save(folder); register it with spark.dataSource.register(WalSource)."""
 
     @classmethod
     def name(cls) -> str:
@@ -169,6 +217,10 @@ class WalSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return WalReader(self.options["path"])
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return WalWriter(self.options["path"])
+
+
 
 def valid_prefix(records: DataFrame, by: str = "wal_seq", place: str = "record_no", ok: str = "crc_ok") -> DataFrame:
     """Decoded records before the first bad one of their log. Only bad records are gathered: one place a log."""
