@@ -1,14 +1,17 @@
-"""Token ids in wavelet matrices, one compressed file image per shard.
+"""Token ids in wavelet matrices, one compressed file per shard.
 
 A shard holds the ids of whole documents in order. Its distinct ids are numbered by falling frequency,
 so the upper bit-planes are nearly all zeros and compress well. Each plane keeps the count of ones
 before every 512 bits; with them `access`, `count` and `find` (select) work on the planes alone, and
-`ids` reads a whole shard back plane by plane.
+`ids` reads a whole shard back plane by plane. A plane's bits are packed in chunks, and a lookup reads
+from the file only the chunks that it meets: one a plane for a token, two for a count in a range.
 
-Layout, all numbers little-endian: the magic WMX1, the length of a JSON header (4 bytes), the header,
+`write` makes the files and a table of them, `documents`, `at_places`, `occurrences` and `found_at` ask them.
+
+Layout, all numbers little-endian: the magic WMX2, the length of a JSON header (4 bytes), the header,
 then the sections that the header lists with their places, each a zstd frame: `alphabet` (4 bytes an
-id), `doc_ids` (8 bytes), `known` (1 byte, 0 for a null doc id), `lengths` (8 bytes), and for each plane its bits (bit k of byte j is
-place 8 j + k) and its counts (4 bytes).
+id), `doc_ids` (8 bytes), `known` (1 byte, 0 for a null doc id), `lengths` (8 bytes), for each plane its counts
+(4 bytes) and its bits in chunks of 65,536 (bit k of byte j is place 8 j + k), the last one shorter.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import os
 import string
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -27,13 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import scratch
+from tidelog.llm.common import scratch, written
 
-MAGIC = b"WMX1"
+MAGIC = b"WMX2"
 BLOCK = 512  # bits between counts
+CHUNK = 1 << 16  # bits of a plane that are packed together
 SHARD = 1 << 20  # a shard closes once it has so many ids
 WORDS = 400_000  # words whose ids a worker keeps, twice: the latest and those before
-SHARDS = "part int, seq int, before long, n_tokens long, n_docs long, data binary"
+SPAN = 1 << 16  # places that one lookup task gathers at most from a shard
+TASK_BYTES = 64 << 20  # bytes of files that a task reads in the mean
+SHARDS = "part int, seq int, before long, n_tokens long, n_docs long, n_bytes long, file string"
 
 
 def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
@@ -57,7 +63,8 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> byt
         full = np.zeros(-(-n // BLOCK) * BLOCK // 8, np.uint8)
         full[: len(bits)] = bits
         ones = np.bitwise_count(full.view("<u8")).reshape(-1, BLOCK // 64).sum(1, dtype=np.int64)
-        sections += [(f"bits{level}", bits.tobytes()), (f"ones{level}", (np.cumsum(ones) - ones).astype("<u4").tobytes())]
+        sections.append((f"ones{level}", (np.cumsum(ones) - ones).astype("<u4").tobytes()))
+        sections += [(f"bits{level}.{k}", bits[k * CHUNK // 8 : (k + 1) * CHUNK // 8].tobytes()) for k in range(-(-n // CHUNK))]
         zeros.append(n - int(ones.sum()))
         s = np.concatenate([s[~bit], s[bit]])
     packed = [(name, pack(x)) for name, x in sections]
@@ -70,24 +77,29 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> byt
 
 
 class Wavelet:
-    """A shard read from its file image; sections are unpacked when first needed."""
+    """A shard of a file image, or of a function (offset, length) -> bytes that reads a file. Sections are read and unpacked when first needed; `reads` counts them."""
 
-    def __init__(self, data: bytes):
-        if data[:4] != MAGIC:
+    def __init__(self, source: bytes | Callable[[int, int], bytes]):
+        self.read = source if callable(source) else lambda at, n: source[at : at + n]
+        start = self.read(0, 8)
+        if start[:4] != MAGIC:
             raise ValueError("not a wavelet shard")
-        size = int.from_bytes(data[4:8], "little")
-        self.head = json.loads(data[8 : 8 + size])
-        self.data, self.base = data, 8 + size
+        size = int.from_bytes(start[4:8], "little")
+        self.head = json.loads(self.read(8, size))
+        self.base, self.reads = 8 + size, 0
         self.n, self.levels, self.zeros = self.head["n"], self.head["levels"], self.head["zeros"]
         self.kept: dict[str, np.ndarray] = {}
 
+    def _unpack(self, name: str) -> bytes:
+        import zstandard
+
+        at, size = self.head["sections"][name]
+        self.reads += 1
+        return zstandard.ZstdDecompressor().decompress(self.read(self.base + at, size))
+
     def section(self, name: str, kind: str) -> np.ndarray:
         if name not in self.kept:
-            import zstandard
-
-            at, size = self.head["sections"][name]
-            raw = zstandard.ZstdDecompressor().decompress(self.data[self.base + at : self.base + at + size])
-            self.kept[name] = np.frombuffer(raw, kind)
+            self.kept[name] = np.frombuffer(self._unpack(name), kind)
         return self.kept[name]
 
     @property
@@ -101,19 +113,24 @@ class Wavelet:
             yield d if k else None, at, n
             at += n
 
-    def _words(self, level: int) -> np.ndarray:
-        name = f"words{level}"
-        if name not in self.kept:
-            bits = self.section(f"bits{level}", np.uint8)
-            full = np.zeros((-(-self.n // BLOCK) + 1) * BLOCK // 8, np.uint8)
-            full[: len(bits)] = bits
-            self.kept[name] = full.view("<u8").reshape(-1, BLOCK // 64)
-        return self.kept[name]
+    def _words(self, level: int, places: np.ndarray | None = None) -> np.ndarray:
+        """A plane's bits as 8-byte words, a row each BLOCK; read are the chunks that hold the places, or all."""
+        if f"words{level}" not in self.kept:
+            self.kept[f"words{level}"] = np.zeros(((-(-self.n // BLOCK) + 1) * BLOCK // 64), "<u8")
+            self.kept[f"have{level}"] = np.zeros(-(-self.n // CHUNK), bool)
+        words, have = self.kept[f"words{level}"], self.kept[f"have{level}"]
+        want = range(len(have)) if places is None else np.unique(np.asarray(places) // CHUNK).tolist()
+        for k in want:
+            if k < len(have) and not have[k]:
+                raw = np.frombuffer(self._unpack(f"bits{level}.{k}"), np.uint8)
+                words.view(np.uint8)[k * CHUNK // 8 : k * CHUNK // 8 + len(raw)] = raw
+                have[k] = True
+        return words.reshape(-1, BLOCK // 64)
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         """Ones of a plane before each place."""
-        words, before = self._words(level), self.section(f"ones{level}", "<u4")
         at = np.asarray(at, np.int64)
+        words, before = self._words(level, at), self.section(f"ones{level}", "<u4")
         blocks = at // BLOCK
         total = np.where(blocks < len(before), before[np.minimum(blocks, len(before) - 1)] if len(before) else 0, self.n - self.zeros[level])
         inside = at % BLOCK
@@ -129,7 +146,7 @@ class Wavelet:
             raise IndexError("place outside the shard")
         code = np.zeros(len(at), np.int64)
         for level in range(self.levels):
-            w = self._words(level).reshape(-1)
+            w = self._words(level, at).reshape(-1)
             bit = ((w[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
             ones = self._ones(level, at)
             at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
@@ -152,33 +169,34 @@ class Wavelet:
 
     def find(self, token: int, k: int = 0) -> int:
         """The place of occurrence number k (from 0) of token, or -1."""
-        code = self._code(token)
-        if code < 0 or not 0 <= k < self.count(token):
-            return -1
-        a = 0
+        return int(self.places(token, np.array([k]))[0]) if 0 <= k < self.count(token) else -1
+
+    def places(self, token: int, ks: np.ndarray) -> np.ndarray:
+        """The places of the occurrences of those numbers, all of which must exist."""
+        code, a = self._code(token), 0
         for level in range(self.levels):
             x = int(self._ones(level, np.array([a]))[0])
             a = self.zeros[level] + x if code >> (self.levels - 1 - level) & 1 else a - x
-        at = a + k
+        at = a + np.asarray(ks, np.int64)
         for level in reversed(range(self.levels)):
             one = code >> (self.levels - 1 - level) & 1
             at = self._select(level, one, at - self.zeros[level] if one else at)
         return at
 
-    def _select(self, level: int, one: int, k: int) -> int:
-        """The place of one (or zero) number k of a plane: a search among the counts, then in one block."""
+    def _select(self, level: int, one: int, k: np.ndarray) -> np.ndarray:
+        """The places of ones (or zeros) number k of a plane: a search among the counts, then in one block each."""
         before = self.section(f"ones{level}", "<u4").astype(np.int64)
         if not one:
             before = np.arange(len(before)) * BLOCK - before
-        block = int(np.searchsorted(before, k, "right")) - 1
-        bits = np.unpackbits(self._words(level)[block].view(np.uint8), bitorder="little")
-        return block * BLOCK + int(np.flatnonzero(bits == one)[k - before[block]])
+        block = np.searchsorted(before, k, "right") - 1
+        bits = np.unpackbits(self._words(level, block * BLOCK)[block].view(np.uint8), axis=1, bitorder="little") == one
+        return block * BLOCK + (np.cumsum(bits, axis=1) == (k - before[block] + 1)[:, None]).argmax(1)
 
     def ids(self) -> np.ndarray:
         """All ids of the shard, from the lowest plane up."""
         s = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
         for level in reversed(range(self.levels)):
-            bit = np.unpackbits(self.section(f"bits{level}", np.uint8), count=self.n, bitorder="little").view(bool)
+            bit = np.unpackbits(self._words(level).reshape(-1).view(np.uint8), count=self.n, bitorder="little").view(bool)
             up = np.empty_like(s)
             z = self.zeros[level]
             up[~bit] = s[:z]
@@ -266,9 +284,10 @@ def word_ids(path: str) -> WordIds:
 def write(docs: DataFrame, tokenizer: str, end: int = 2, shard: int = SHARD, at: str | None = None) -> DataFrame:
     """Encode docs (doc_id, text), append `end` to each, and write shards in ascending doc_id order.
 
-    Returns the table of shards (part, seq, before, n_tokens, n_docs, data) where it was written: a
-    row's data is a file image, `before` counts the ids of earlier shards of its part, parts and seqs
-    ascend with doc_id. Null ids come first; rows with equal ids stay, ordered by text; null text is
+    Returns the table of shards (part, seq, before, n_tokens, n_docs, n_bytes, file) where it was written:
+    `before` counts the ids of earlier shards of its part, parts and seqs ascend with doc_id. A task names
+    its files after its attempt, and the table holds only what committed tasks report: a task that runs
+    twice leaves files that no row points to, never a wrong row. Null ids come first; rows with equal ids stay, ordered by text; null text is
     empty and gives `end` alone; a document is never split, so one longer than a shard fills its own.
     The shuffle carries texts, not ids, and is ranged, so no id or source makes one task large.
     """
@@ -278,8 +297,12 @@ def write(docs: DataFrame, tokenizer: str, end: int = 2, shard: int = SHARD, at:
     tail = int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(tokenizer).encode
-        part, seq, before = TaskContext.get().partitionId(), 0, 0
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(at)
+        files.create_dir(root, recursive=True)
+        encode, task = word_ids(tokenizer).encode, TaskContext.get()
+        part, seq, before = task.partitionId(), 0, 0
         held: list[bytes] = []
         doc_ids: list[int | None] = []
         size = 0
@@ -289,7 +312,10 @@ def write(docs: DataFrame, tokenizer: str, end: int = 2, shard: int = SHARD, at:
             lengths = [len(x) // 4 for x in held]
             n = sum(lengths)
             data = build(np.frombuffer(b"".join(held), "<u4"), doc_ids, lengths)
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before]), pa.array([n]), pa.array([len(held)]), pa.array([data], pa.binary())], ["part", "seq", "before", "n_tokens", "n_docs", "data"])
+            name = f"{part:06d}-{task.taskAttemptId()}-{seq:05d}.wmx"
+            with files.open_output_stream(f"{root}/{name}", compression=None) as out:
+                out.write(data)
+            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before]), pa.array([n]), pa.array([len(held)]), pa.array([len(data)]), pa.array([f"{at}/{name}"])], ["part", "seq", "before", "n_tokens", "n_docs", "n_bytes", "file"])
             seq, before, held, doc_ids, size = seq + 1, before + n, [], [], 0
             return row
 
@@ -305,27 +331,83 @@ def write(docs: DataFrame, tokenizer: str, end: int = 2, shard: int = SHARD, at:
         if held:
             yield close()
 
-    d.mapInArrow(run, SHARDS).write.option("compression", "none").parquet(at)
-    return docs.sparkSession.read.schema(SHARDS).parquet(at)
+    return written(d.mapInArrow(run, SHARDS), "token-shards")
 
 
-def documents(shards: DataFrame) -> DataFrame:
-    """Per document, from the shards: doc_id, start, n_tokens and the CRC-32 of its ids as unsigned 32-bit little-endian integers.
+def opened(file: str) -> Wavelet:
+    """The shard in a file, of which only what is asked for is read."""
+    from pyarrow import fs
 
-    start needs what earlier parts hold: one row a part, summed in order.
-    """
+    files, path = fs.FileSystem.from_uri(file)
+    f = files.open_input_file(path)
+    return Wavelet(lambda at, n: f.read_at(n, at))
+
+
+def placed(shards: DataFrame) -> DataFrame:
+    """shards with `first`: the ids of all shards before. One row a part is summed in order."""
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = parts.select("part", (F.sum("n").over(order) - F.col("n")).alias("ahead"))
+    parts = parts.select("part", (F.sum("n").over(order) - F.col("n")).alias("_ahead"))
+    return shards.join(parts, "part").withColumn("first", F.col("before") + F.col("_ahead")).drop("_ahead")
+
+
+def _dealt(shards: DataFrame) -> DataFrame:
+    """Shards in tasks by their bytes: TASK_BYTES each in the mean, and as many as run at once, at least."""
+    total = shards.agg(F.sum("n_bytes")).first()[0] or 0
+    return shards.repartition(int(max(-(-total // TASK_BYTES), shards.sparkSession.sparkContext.defaultParallelism)))
+
+
+def documents(shards: DataFrame) -> DataFrame:
+    """Per document, from the files: doc_id, start, n_tokens and the CRC-32 of its ids as unsigned 32-bit little-endian integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, before, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                w = Wavelet(data.as_py())
+            for first, file in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = opened(file)
                 raw = memoryview(w.ids().astype("<u4").tobytes())
-                rows = [(d, before + at, n, zlib.crc32(raw[4 * at : 4 * (at + n)])) for d, at, n in w.docs()]
+                rows = [(d, first + at, n, zlib.crc32(raw[4 * at : 4 * (at + n)])) for d, at, n in w.docs()]
                 ids, starts, ns, crcs = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ns, pa.int64()), pa.array(crcs, pa.int64())], ["part", "doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ns, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return _dealt(placed(shards)).select("first", "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def at_places(shards: DataFrame, places: DataFrame) -> DataFrame:
+    """place and token of each place (a number from 0 over all shards) of places; places outside and null ones give none.
+
+    Places meet shards by range: a shard's places are gathered as one list for each SPAN of ids, which bounds it.
+    """
+    d = placed(shards)
+    spans = d.withColumn("_span", F.explode(F.sequence(F.expr(f"first div {SPAN}"), F.expr(f"(first + greatest(n_tokens, 1) - 1) div {SPAN}"))))
+    asked = places.select(F.col("place").cast("long").alias("place")).distinct().withColumn("_span", F.expr(f"place div {SPAN}"))
+    met = asked.join(spans, "_span").where("place >= first AND place < first + n_tokens").groupBy("file", "first", "_span").agg(F.collect_list("place").alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, first, at in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(opened(file).access(np.array(at) - first).astype(np.int64))], ["place", "token"])
+
+    return met.select("file", "first", "places").mapInArrow(run, "place long, token long")
+
+
+def occurrences(shards: DataFrame, token: int) -> DataFrame:
+    """part, seq and n: how often each shard holds a token, by rank on its planes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([opened(f).count(token) for f in b.column(2).to_pylist()], pa.int64())], ["part", "seq", "n"])
+
+    return _dealt(shards).select("part", "seq", "file").mapInArrow(run, "part int, seq int, n long")
+
+
+def found_at(shards: DataFrame, token: int) -> DataFrame:
+    """place of every occurrence of a token over all shards, by select on their planes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, file in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = opened(file)
+                for a in range(0, n := w.count(token), 1 << 14):
+                    yield pa.RecordBatch.from_arrays([pa.array(first + w.places(token, np.arange(a, min(a + (1 << 14), n))), pa.int64())], ["place"])
 
-    d = shards.select("part", "before", "data").mapInArrow(run, "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
-    return d.join(parts, "part").select("doc_id", (F.col("start") + F.col("ahead")).alias("start"), "n_tokens", "ids_crc32")
+    return _dealt(placed(shards)).select("first", "file").mapInArrow(run, "place long")
