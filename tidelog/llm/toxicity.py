@@ -23,13 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import spread, written
 
 WORD = re.compile(r"\w+")
 LABELLED = 8192  # most labelled rows that are learned from
+CHARS = 1 << 26  # most characters of their texts together
 OTHER = 1 << 16  # buckets of words that no example holds
 FLOOR = 0.05  # relevance of a word that says nothing
 CONFIDENCE = 1.96  # standard errors taken off a log odds ratio
@@ -53,13 +54,17 @@ def labelled(labels: DataFrame, most: int = LABELLED) -> DataFrame:
     return d.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def examples_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def examples_of(docs: DataFrame, rows: DataFrame, chars: int = CHARS) -> DataFrame:
     """doc_id (the smallest), mark, text and toxic (mean) of each text of the labelled rows; a repeated id counts by its text of the smallest mark.
 
-    docs: doc_id, mark, text. rows is bounded by LABELLED, and so is the result.
+    docs: doc_id, mark, text. rows is bounded by LABELLED, and so is the result. In order of mark, texts are
+    taken while they have `chars` characters together at most, which bounds what goes to driver and executors.
     """
     d = docs.join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(F.min(F.struct("mark", "text")).alias("t"), F.max("toxic").alias("toxic"))
-    return d.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.avg("toxic").alias("toxic")).select("doc_id", "t.mark", "t.text", "toxic")
+    d = d.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.avg("toxic").alias("toxic")).select("doc_id", "t.mark", "t.text", "toxic")
+    size = F.coalesce(F.length("text"), F.lit(0))
+    total = F.sum(size).over(Window.orderBy("mark", "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # LABELLED rows
+    return d.where(size <= chars).withColumn("_total", total).where(F.col("_total") <= chars).drop("_total")
 
 
 class Vocabulary:
@@ -267,7 +272,8 @@ def calibration(raw: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 def learn(d: DataFrame, labels: DataFrame, k: int):
     """What the scores need, as a broadcast: vocabulary, worth of its words, index, prior and calibration. None without examples of both kinds.
 
-    d: doc_id, mark, text. At most LABELLED examples with their words come to the driver and go to the executors.
+    d: doc_id, mark, text. At most LABELLED examples, of CHARS characters together, come to the driver as
+    numbers of words and go to the executors.
     """
     spark = d.sparkSession
     rows = written(labelled(labels), "toxicity-labelled")
