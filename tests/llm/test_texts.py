@@ -46,6 +46,41 @@ def test_wavelet_answers_as_a_plain_array_does():
             assert w.find(t, len(places)) == -1
 
 
+def test_a_lookup_reads_one_chunk_a_plane():
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 1 << 14, 400_000).astype(np.uint32)
+    data = wavelet.build(ids, [1], [len(ids)])
+    asked = []
+    w = wavelet.Wavelet(lambda at, n: asked.append(n) or data[at : at + n])
+    assert w.access(np.array([123_456]))[0] == ids[123_456]
+    assert w.reads == 2 * w.levels + 1 and sum(asked) < len(data) / 3  # a chunk and the counts of each plane, and the alphabet
+    token = int(ids[7])
+    assert w.count(token) == (ids == token).sum() and w.places(token, np.arange(w.count(token))).tolist() == np.flatnonzero(ids == token).tolist()
+
+
+def test_lines_of_very_long_texts(spark):
+    """A line of megabytes and a text of very many lines: only what ten sources hold goes."""
+    long, common = "y" * (3 << 20), "the same line everywhere"
+    texts = [f"{common}\n{long}{i}" for i in range(2)] + ["\n".join(f"line {i} {k}" for k in range(20000)) + f"\n{common}" for i in range(2)] + [common] * 9
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in lines.without_boilerplate(docs(spark, texts, [f"s{i}" for i in range(13)])).collect()}
+    assert got[0] == (2, 0, texts[0]) and got[1] == (2, 1, f"{long}1")
+    assert got[2] == (20001, 1, texts[2].removesuffix(f"\n{common}")) and got[12] == (1, 1, "")
+
+
+def test_lookups_over_all_shards(spark):
+    texts = noise(400, 3)
+    d = docs(spark, texts)
+    shards = wavelet.write(d.repartition(3), WORDS, shard=500)
+    ids = np.concatenate([np.append(np.frombuffer(x, "<u4"), 2) for x in wavelet.WordIds(WORDS).encode(texts)])
+    assert shards.count() > 5
+    asked = [0, 1, 499, 500, 501, len(ids) - 1, len(ids), -1, None, 7, 7]
+    got = {r["place"]: r["token"] for r in wavelet.at_places(shards, spark.createDataFrame([(x,) for x in asked], "place long")).collect()}
+    assert got == {x: int(ids[x]) for x in (0, 1, 499, 500, 501, len(ids) - 1, 7)}
+    for token in (2, int(ids[5]), 48_000):
+        assert sum(r["n"] for r in wavelet.occurrences(shards, token).collect()) == (ids == token).sum()
+        assert sorted(r["place"] for r in wavelet.found_at(shards, token).collect()) == np.flatnonzero(ids == token).tolist()
+
+
 def test_wavelet_rejects_other_files():
     with pytest.raises(ValueError):
         wavelet.Wavelet(b"nope")
@@ -345,6 +380,16 @@ def test_toxicity_is_the_plain_nearest_neighbour_vote(spark):
     assert all(abs(r["score"] - want[texts[r["doc_id"]]]) < 1e-6 and r["predicted"] == (r["score"] >= 0.3) for r in got)
 
 
+def test_examples_are_bounded_in_rows_and_characters(spark):
+    d = docs(spark, ["a" * 10, "b" * 20, "a" * 10, "c" * 500, None]).selectExpr("doc_id", "xxhash64(text) AS mark", "text")
+    rows = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, toxic int")
+    got = {r["text"]: (r["doc_id"], r["toxic"]) for r in toxicity.examples_of(d, rows).collect()}
+    assert got == {"a" * 10: (0, 0.0), "b" * 20: (1, 1.0), "c" * 500: (3, 1.0), None: (4, 0.0)}
+    assert {r["text"] for r in toxicity.examples_of(d, rows, 30).collect()} == {"a" * 10, "b" * 20, None}
+    assert sum(len(r["text"] or "") for r in toxicity.examples_of(d, rows, 25).collect()) <= 25
+    assert toxicity.labelled(spark.createDataFrame([(i, 0) for i in range(50)], "doc_id long, toxic int"), 7).count() == 7
+
+
 def test_no_own_label_in_a_score(spark):
     """Flipping a row's own label, or its copies', leaves the vote as it was: only the fit of all examples moves a little."""
     d, labels = toxic_corpus(spark)
@@ -522,7 +567,7 @@ CASES = [
     ("plain < text &lt;b&gt;", "plain < text <b>"),
     ("<p>a<p hidden>b</p><p style='display: none'>c</p>", "a"),
     ("<article><p>x</p><div class='comments'><p>y</p></div><textarea>z</textarea></article>", "x"),
-    ("<p title='a>b'>q</p>", "q"),
+    ("<p title='a>b'>q</p>", "q"), ("<p title=don't>it isn't</p>", "it isn't"), ("<!--><p>a</p><!---><p>b</p><!-- x > y --><p>c</p>", "a\nb\nc"), ('<p class="x>b" id=\"y>c</p>', "c"),
     ("<div" * 3, "<div<div<div"),
     ("", ""), ("<nav>x</nav>", ""), ("<p></p>", ""),
 ]
@@ -551,7 +596,7 @@ def test_names_give_way_to_density(page):
     assert extract.main_text(f"<html><body><nav><a href=/>Home</a></nav>{page}<footer>me</footer>") == STORY
 
 
-@pytest.mark.parametrize("part", ["<a x", '<a "', "<a '", "<b></i>", "<i><div><b></i>", "<!x", "<script", "<p><li></b>", '<a ">" ', "<nav><b></i>", "</p", "&", "<table><tr><td>"])
+@pytest.mark.parametrize("part", ["<a x", '<a x="> ', "<a x='>\"", "<a =\"'", '<a "', "<a '", "<b></i>", "<i><div><b></i>", "<!x", "<script", "<p><li></b>", '<a ">" ', "<nav><b></i>", "</p", "&", "<table><tr><td>"])
 def test_extraction_takes_time_in_proportion(part):
     """A megabyte of broken marks, with and without an end, takes seconds at most."""
     import time

@@ -92,6 +92,15 @@ def test_near_duplicates_of_odd_tables(spark):
     assert got == [(0, 0, None), (1, 2, 1), (1, 2, 1), (2, 2, 1)]
 
 
+def test_long_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 3000))
+    x[30:] = x[:30] + 0.05 * rng.normal(size=(30, 3000))
+    x = x.astype(np.float32)
+    n, comp = plain_links(range(60), x, np.zeros(60))
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in graphs.near_duplicates(table(spark, x, np.zeros(60))).collect()} == {i: (int(n[i]), int(comp[i])) for i in range(60)}
+
+
 def test_prune_and_build():
     x = cloud(200).astype(float)
     x /= np.sqrt((x * x).sum(1))[:, None]

@@ -34,7 +34,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 WHOLE = frozenset("html body article main".split())  # names on the outermost of these say nothing
 
 _OPEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
-_QUOTED = re.compile(r"(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>")
+_QUOTED = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")  # only after = does a quote hold a >
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|style|aria-hidden|hidden)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?(?=[\s/]|$)", re.I)
 _SPLIT = re.compile(r"[\s_]+")
 
@@ -90,7 +90,7 @@ def _tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
     last, quotes, at = html.rfind(">") + 1, True, 0
     while m := _OPEN.search(html, at, last):
         if m[1] or m[2]:
-            end = html.find("-->" if m[1] else "]]>", m.end())
+            end = html.find("-->", m.start() + 2) if m[1] else html.find("]]>", m.end())  # <!--> is empty
             at = len(html) if end < 0 else end + 3
             yield m.start(), at, "", False, ""
             continue

@@ -7,7 +7,8 @@ shards. Within a shard documents lie in an order drawn from the seed, and the sh
 from the start of that order, passing over it again where the quota exceeds what it holds.
 
 Nothing here gathers a source in one task: a source is cut into shards of about `shard_rows`
-documents by a hash of the id, and single-partition windows see one row for each source only.
+documents by a hash of the id, and single-partition windows see one row for each source only: sources
+are named corpora, of which a task can order some million. Rows that repeat one id lie in one shard.
 """
 
 from __future__ import annotations
