@@ -383,6 +383,11 @@ def current_leader(spark, sf_dir):
     return raftlog.current_leader(c.groupBy("term").agg(F.min("server").alias("server")))
 
 
+def no_leader(spark, sf_dir):
+    """The same of servers that claim nothing."""
+    return raftlog.current_leader(_claims(spark, sf_dir).where("term < 0"))
+
+
 def leader_hint(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     asks = e.where("event_type = 'view'").select(F.col("event_id").alias("id"), F.col("event_id").alias("ts"))
@@ -473,6 +478,7 @@ SQL = {
     "election_winners": "SELECT CAST(floor(event_id / 10) AS BIGINT) AS term, user_id % 2 AS candidate, count(DISTINCT event_id % 10) AS votes FROM events WHERE value < 100 GROUP BY ALL HAVING count(DISTINCT event_id % 10) * 2 > 10",
     "election_safety": "SELECT CAST(floor(event_id / 50) AS BIGINT) AS term, count(DISTINCT user_id) AS leaders FROM events WHERE event_type = 'signup' AND value > 150 GROUP BY 1 HAVING count(DISTINCT user_id) > 1",
     "current_leader": "SELECT max_by(server, term) AS leader, count(*) = 0 AS no_leader FROM (SELECT CAST(floor(event_id / 50) AS BIGINT) AS term, min(user_id) AS server FROM events WHERE event_type = 'signup' AND value > 150 GROUP BY 1)",
+    "no_leader": "SELECT max_by(user_id, event_id) AS leader, count(*) = 0 AS no_leader FROM events WHERE event_id < 0",
     "leader_hint": "SELECT a.event_id AS id, a.event_id AS ts, (SELECT max_by(c.user_id, c.event_id) FROM events c WHERE c.event_type = 'signup' AND c.value > 150 AND c.event_id <= a.event_id) AS leader FROM events a WHERE a.event_type = 'view'",
     "shard_histogram": "WITH k AS (SELECT DISTINCT 'key-' || CAST(user_id AS VARCHAR) AS key FROM events), h AS (SELECT list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::HUGEINT)), lambda h, b: ((h - h % 256) + xor(h % 256, b)) * 1099511628211 % 18446744073709551616) AS h FROM k) SELECT CAST(h % 128 AS INTEGER) AS shard, count(*) AS keys FROM h GROUP BY 1",
 }
@@ -485,7 +491,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         as_of_lsn, base_plus_tail, manifest_live, orphan_runs, replace_subset, request_totals, latency_histogram, latency_nearest_rank, load_report, write_amp,
         throughput_windows, commit_index, commit_index_by_rank, leader_commit, stale_reply_filter, state_machine_safety, commit_counts, log_first_conflict,
         append_consistency, next_index, log_compaction, snapshot_install, propose, vote_grants, follower_commit, applicable_entries, apply_gaps, silent_gaps, acknowledged,
-        append_requests, connected, follow_hints, line_tokens, run_names, numbers_as_bytes, kv_ordered_walk, log_suffix_replacement, vote_up_to_date, election_winners, election_safety, current_leader, leader_hint,
+        append_requests, connected, follow_hints, line_tokens, run_names, numbers_as_bytes, kv_ordered_walk, log_suffix_replacement, vote_up_to_date, election_winners, election_safety, current_leader, no_leader, leader_hint,
         shard_histogram, checksums,
     )
     from tidelog.plans import stores

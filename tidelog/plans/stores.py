@@ -45,6 +45,18 @@ def wal_recovery(spark, sf_dir):
     return runs.merge(store.read(runs=True), drop_tombstones=True).select("key", "value", "gen", "seq").join(F.broadcast(left))  # one row
 
 
+def store_with_logs(spark, sf_dir):
+    """Live rows of a store whose older logs were flushed and whose newer ones are only logged: runs and logs read together."""
+    ship(spark)
+    d, folder = _part(spark, sf_dir).withColumnRenamed("part", "wal_seq"), scratch(spark, "wal")
+    store = RunStore(spark, scratch(spark, "store"), value_type="double")
+    wal.write(d.where(F.col("wal_seq") < PARTS // 2), folder)
+    store.recover(folder)
+    wal.write(d.where(F.col("wal_seq") >= PARTS // 2), folder)
+    both = mutations.merge_snapshots([store.read(), wal.mutations(wal.read(spark, folder), "double")])
+    return both.select("key", "value", (F.expr("lsn div 4294967296")).alias("log"))
+
+
 def _sst(spark: SparkSession, sf_dir: str) -> str:
     ship(spark)
     folder = scratch(spark, "sst")
@@ -221,6 +233,7 @@ _draw = lambda what, of: _DRAW.format(what=what, id=of)
 SQL = {
     "wal_replay": f"WITH {_LOG} SELECT run AS wal_seq, row_number() OVER (PARTITION BY run ORDER BY lsn) - 1 AS record_no, tombstone, key, CASE WHEN NOT tombstone THEN value END AS value FROM log",
     "wal_recovery": f"WITH {_LOG}, {_TOP} SELECT key, value, 0 AS gen, CAST(1 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS log_records_left FROM top WHERE NOT tombstone",
+    "store_with_logs": f"WITH {_PART} SELECT key, value, part AS log FROM {_TOP_OF.format(by='', of='part')} WHERE NOT tombstone",
     "sst_scan": f"WITH {_LOG} SELECT 0 AS gen, run AS seq, key, tombstone, CASE WHEN NOT tombstone THEN value END AS value FROM {_TOP_OF.format(by='run, ', of='log')}",
     "sst_get": f"WITH {_LOG}, r AS (SELECT DISTINCT run FROM log), hit AS (SELECT * FROM {_TOP_OF.format(by='run, ', of='log')} WHERE key = '42') SELECT 0 AS gen, r.run AS seq, hit.key IS NOT NULL AS found, coalesce(tombstone, false) AS tombstone, CASE WHEN NOT tombstone THEN value END AS value FROM r LEFT JOIN hit ON r.run = hit.run",
     "store_cascade": f"WITH {_PART} SELECT key, lsn, tombstone, value, 1 AS gen, CAST(5 AS BIGINT) AS seq FROM {_LOW} WHERE NOT tombstone UNION ALL SELECT key, lsn, tombstone, value, 1, 10 FROM {_HIGH}",
@@ -245,7 +258,7 @@ SQL = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        wal_replay, wal_recovery, sst_scan, sst_get, store_cascade, store_manifest, stream_lww, stream_out_of_order, stream_flush, stream_retries, stream_windows,
+        wal_replay, wal_recovery, store_with_logs, sst_scan, sst_get, store_cascade, store_manifest, stream_lww, stream_out_of_order, stream_flush, stream_retries, stream_windows,
         stream_progress, manifest_text, state_snapshot, live_keys_over_time, key_count_gauge, workload, unreliable_network, runs_out_of_order, newest_runs_first, write_amp_on_disk,
     )
     return {f.__name__: f for f in found}
