@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import written
+from tidelog.llm.common import spread, written
 from tidelog.llm.components import components
 
 BITS = 64
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fp = [fingerprint(t.as_py() or b"", shingle) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "mark", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, mark long, fp long")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))).mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def correlated_parts(bits: np.ndarray, m: int) -> list[list[int]]:
