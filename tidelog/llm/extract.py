@@ -54,8 +54,8 @@ class Node:
 def called(tag: str, attributes: str, within: bool) -> int:
     """What an element's tag and attributes say of it. within: it stands inside an article or main element.
 
-    A whole word of class or id, a role or a mark as hidden is a strong hint, the first or last part of a
-    hyphenated word (with-sidebar, cookie-notice) a weak one; so is a form, which may hold the whole page.
+    A whole word of class or id, hyphenated of such words or not (cookie-notice), a role or a mark as hidden
+    is a strong hint, the first or last part of another hyphenated word (with-sidebar) a weak one; so is a form, which may hold the whole page.
     """
     if tag in NEVER:
         return HARD
@@ -74,7 +74,7 @@ def called(tag: str, attributes: str, within: bool) -> int:
                     out = COMMENT
                 elif tag in WHOLE and not within:
                     continue
-                elif word in NAMES:
+                elif all(x in NAMES for x in word.split("-")) or word in NAMES:
                     out = max(out, STRONG)
                 elif word.partition("-")[0] in NAMES or word.rpartition("-")[2] in NAMES:
                     out = max(out, WEAK)
@@ -238,10 +238,11 @@ def leave_out(root: Node) -> list[Node]:
     """Strip what is no main text, where density does not say otherwise; the measured nodes that remain.
 
     1. What is called so for certain goes, but not what holds an article or main element or, on a page
-       without those, most of the text outside links, unless it is called a comment.
+       without those, most of the text outside links and the node of the largest density sum. What is called
+       a comment and holds no article goes in any case.
     2. If no text is left by that, only unseen elements and the page's frame go.
     3. Of the rest, what is called so goes unless it holds the node of the largest density sum, an article
-       or main element or, on a page without those, most of the text.
+       or main element or, on a page without those, most of the text outside links.
     """
     strip(root, lambda n: n.out == HARD)
     nodes = measure(root)
@@ -258,7 +259,8 @@ def leave_out(root: Node) -> list[Node]:
     def kept(n: Node) -> bool:
         return id(n) in holds or not inside and n.chars - n.link_chars > most
 
-    sure = {id(n) for n in nodes if n.out == COMMENT and id(n) not in holds or n.out == STRONG and not kept(n)}
+    best = _with_all_above([best_of(nodes)])
+    sure = {id(n) for n in nodes if n.out == COMMENT and id(n) not in holds or n.out == STRONG and not (kept(n) and (id(n) in holds or id(n) in best))}
     gone: set[int] = set()
     for n in nodes:  # parents first
         if id(n) in sure or id(n.parent) in gone:
