@@ -8,6 +8,7 @@ from functools import cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -95,6 +96,61 @@ def test_word_ids_are_the_librarys_on_whole_texts():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_word_ids_where_letters_marks_and_digits_meet():
+    """Cuts and lower case before the library must change nothing, whatever follows; slices of columns have offsets."""
+    from tokenizers import Tokenizer
+
+    t, w = Tokenizer.from_file(WORDS), wavelet.WordIds(WORDS)
+    odd = [*"aJHsSt12.,-'()<|> \n", "\u030c", "\u0331", "\u0338", "\u20e3", "é", "É", "ẞ", "İ", "Σ", "\u212a", "²", "ª", "中", "\u0e33", "\x85", "\x1c", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    for letters in (odd, [x for x in odd if "<" not in x and "|" not in x]):
+        texts = [*noise(1500, 5, letters), "J\u030c J", "A\u030a.b", "", "1.2.3.4,a@B-c's"]
+        want = [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+        for given in (texts, pa.array(["x y", *texts]).slice(1)):
+            assert [np.frombuffer(x, "<u4").tolist() for x in w.encode(given)] == want
+
+
+def test_words_of_known_parts_cost_the_library_nothing():
+    from tokenizers import Tokenizer
+
+    class Heard:
+        def __init__(self, t):
+            self.t = t
+
+        def encode_batch_fast(self, texts, **more):
+            heard.extend(texts)
+            return self.t.encode_batch_fast(texts, **more)
+
+    heard, w = [], wavelet.WordIds(WORDS)
+    for name, t in list(vars(w).items()):
+        if isinstance(t, Tokenizer):
+            setattr(w, name, Heard(t))
+    parts = ["mail", "example", "com", "the", "Heie", "otion"]
+    texts = [f"{a}.{b}@{c.upper()},{k} ({b}-{a}) {k}.{k + 1}{k}" for a in parts for b in parts for c in parts for k in range(9)]
+    got = w.encode(texts)
+    assert sum(map(len, heard)) < 200, "each combination went to the library"
+    t = Tokenizer.from_file(WORDS)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_token_shards_of_texts_beyond_a_piece(spark, monkeypatch):
+    """Pieces of a batch end between texts; one longer than a piece is one, and encoded in parts."""
+    from tokenizers import Tokenizer
+
+    texts = ["", "a b", "word, " * 40, "", "x", "é" * 30, "y z " * 9, ""]
+    want = {r["doc_id"]: tuple(r) for r in wavelet.documents(wavelet.write(docs(spark, texts), WORDS)).collect()}
+    monkeypatch.setattr(wavelet, "PIECE", 20)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    got = list(wavelet.pieces(batch))
+    assert [x for p in got for x in p.column(1).to_pylist()] == texts and all(p.num_rows for p in got)
+    assert max(sum(len(x.encode()) for x in p.column(1).to_pylist()) for p in got if p.num_rows > 1) <= 20
+    w = wavelet.WordIds(WORDS)
+    ids = [x for p in got for x in w.encode(p.column(1))]
+    t = Tokenizer.from_file(WORDS)
+    long = [x * 9 for x in (*noise(200, 6), *EDGE[1:]) if len(x) < 5000]
+    assert [np.frombuffer(w.encode([x])[0], "<u4").tolist() for x in long] == [e.ids for e in t.encode_batch_fast(long, add_special_tokens=False)]
+    assert [want[i][2] for i in range(len(texts))] == [len(x) // 4 + 1 for x in ids]
+
+
 @pytest.mark.parametrize("shard", [1, 40, 1 << 20])
 def test_token_shards_round_trip(spark, shard):
     from tokenizers import Tokenizer
