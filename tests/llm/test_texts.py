@@ -47,6 +47,14 @@ def test_wavelet_answers_as_a_plain_array_does():
             assert w.find(t, len(places)) == -1
 
 
+def test_a_shard_of_one_very_long_text(monkeypatch):
+    monkeypatch.setattr(wavelet, "SHARD", 700)
+    for n in (1, 699, 700, 701, 5000):
+        ids = (np.random.default_rng(n).zipf(1.4, n) % 3000).astype(np.uint32)
+        w = wavelet.Wavelet(wavelet.build(ids, [1], [n]))
+        assert (w.ids() == ids).all() and (w.access(np.arange(n)) == ids).all()
+
+
 def test_a_lookup_reads_one_chunk_a_plane():
     rng = np.random.default_rng(2)
     ids = rng.integers(0, 1 << 14, 400_000).astype(np.uint32)

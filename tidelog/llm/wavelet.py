@@ -45,6 +45,12 @@ TASK_BYTES = 64 << 20  # bytes of files that a task reads in the mean
 SHARDS = "part int, seq int, before long, n_tokens long, n_docs long, n_bytes long, file string"
 
 
+def _places(side: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Where each SHARD of a mask starts, and the places in it that are set: twice as fast as the mask, and bounded."""
+    for k in range(0, len(side), SHARD):
+        yield k, np.flatnonzero(side[k : k + SHARD])
+
+
 def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
     """A shard's file image. ids: of all its documents, one after another; lengths: ids of each."""
     import zstandard
@@ -69,7 +75,7 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> byt
         sections.append((f"ones{level}", (np.cumsum(ones) - ones).astype("<u4").tobytes()))
         sections += [(f"bits{level}.{k}", bits[k * CHUNK // 8 : (k + 1) * CHUNK // 8].tobytes()) for k in range(-(-n // CHUNK))]
         zeros.append(n - int(ones.sum()))
-        s = np.concatenate([s[np.flatnonzero(~bit)], s[np.flatnonzero(bit)]])  # twice as fast as by masks
+        s = np.concatenate([s[k : k + SHARD][at] for side in (~bit, bit) for k, at in _places(side)])
     packed = [(name, pack(x)) for name, x in sections]
     places, at = {}, 0
     for name, x in packed:
@@ -202,8 +208,11 @@ class Wavelet:
             bit = np.unpackbits(self._words(level).reshape(-1).view(np.uint8), count=self.n, bitorder="little").view(bool)
             up = np.empty_like(s)
             z = self.zeros[level]
-            up[np.flatnonzero(~bit)] = s[:z]
-            up[np.flatnonzero(bit)] = s[z:] | s.dtype.type(1 << (self.levels - 1 - level))
+            for side, part in ((~bit, s[:z]), (bit, s[z:] | s.dtype.type(1 << (self.levels - 1 - level)))):
+                done = 0
+                for k, at in _places(side):
+                    up[k : k + SHARD][at] = part[done : done + len(at)]
+                    done += len(at)
             s = up
         return self.alphabet[s]
 
