@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 import zlib
 from functools import cache
 
@@ -23,6 +24,16 @@ def docs(spark, texts, sources=None):
     return spark.createDataFrame([(i, t, (sources or ["s"] * len(texts))[i]) for i, t in enumerate(texts)], DOCS)
 
 
+def peak_mb(run):
+    """Most memory that this process's Python, NumPy included, takes for run()."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
 def noise(n, seed=0, letters="abetion ▁\n é😀.,ingİ'!|<>1"):
     rng = random.Random(seed)
     return ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(n)]
@@ -278,6 +289,15 @@ def test_thresholds_cover_the_distance():
         assert len(bits) == len(set(bits))
 
 
+def test_a_plan_needs_little_memory():
+    sample = np.random.default_rng(4).integers(0, 2**63, simhash.SAMPLE).astype(np.uint64)
+    sample[1::2] = sample[::2] ^ np.uint64(1 << 40)
+    assert peak_mb(lambda: simhash.plan(sample, 10**6)) < 16
+    for mask in (2**64 - 1, 0xFF0000, 0):
+        d, far = np.bitwise_count(sample[:300, None] & np.uint64(mask) ^ sample[:300] & np.uint64(mask)), np.bitwise_count(sample[:300, None] ^ sample[:300]) > 3
+        assert simhash._met(sample[:300], np.uint64(mask), 3) == [((d <= t) & far).sum() for t in range(4)]
+
+
 # --- lines -------------------------------------------------------------------
 
 
@@ -477,6 +497,13 @@ def test_toxicity_is_searched_over_all_words(spark):
     assert got[200]["evidence"] == []
 
 
+def test_the_driver_holds_no_index_of_examples(spark):
+    texts = [" ".join(f"w{i * 199 + j * (1 + i % 3)}" for j in range(200)) for i in range(1500)]
+    d = spark.createDataFrame(docs(spark, texts).selectExpr("doc_id", "xxhash64(text) AS mark", "text").toArrow())
+    labels = spark.range(1500).selectExpr("id AS doc_id", "int(id % 2) AS toxic")
+    assert peak_mb(lambda: toxicity.learn(d, labels, 5)) < 24
+
+
 # --- mixing ------------------------------------------------------------------
 
 

@@ -22,6 +22,7 @@ from tidelog.llm.components import components
 
 BITS = 64
 SAMPLE = 2048  # fingerprints that costs are estimated from
+ROWS = 128  # fingerprints of the sample compared with all others at once
 BUCKET = 4096  # most fingerprints of a bucket in one block; larger buckets are met block by block
 
 
@@ -102,6 +103,21 @@ def allocate(cost: list[list[float]], distance: int) -> list[int]:
     return best[distance + 1][1]
 
 
+def _met(sample: np.ndarray, mask: np.uint64, distance: int) -> list[int]:
+    """For each t up to distance, the ordered pairs of a sample that differ in at most t bits of mask, but in more than distance bits of all: links are met under any plan.
+
+    The pairs are looked at ROWS rows at a time, as the driver has little memory.
+    """
+    n = np.zeros(distance + 1, np.int64)
+    for a in range(0, len(sample), ROWS):
+        x = sample[a : a + ROWS, None] ^ sample[None, :]
+        far = np.bitwise_count(x) > distance
+        np.bitwise_and(x, mask, out=x)
+        d = np.bitwise_count(x)
+        n += [np.count_nonzero((d <= t) & far) for t in range(distance + 1)]
+    return n.tolist()
+
+
 def plan(sample: np.ndarray, n: int, distance: int = 3, probe: float = 1.0, verify: float = 0.02) -> list[tuple[list[int], int]]:
     """Parts (bit numbers) with their thresholds for n fingerprints, from a sample of them (uint64).
 
@@ -109,7 +125,6 @@ def plan(sample: np.ndarray, n: int, distance: int = 3, probe: float = 1.0, veri
     within the threshold, at `verify` each: the sample's share of such pairs that are no links, or that
     of even bits if larger.
     """
-    linked = np.bitwise_count(sample[:, None] ^ sample[None, :]) <= distance  # met under any plan
     bits = (sample[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)
     best = (float("inf"), [])
     for m in range(1, 17):
@@ -117,13 +132,12 @@ def plan(sample: np.ndarray, n: int, distance: int = 3, probe: float = 1.0, veri
         cost = []
         for p in parts:
             mask = np.uint64(sum(1 << i for i in p))
-            v = sample & mask
-            d = np.bitwise_count(v[:, None] ^ v[None, :])
-            pairs = max(1, len(v) * (len(v) - 1))
+            met = _met(sample, mask, distance)
+            pairs = max(1, len(sample) * (len(sample) - 1))
             row = []
             for t in range(distance + 1):
                 ball = sum(comb(len(p), k) for k in range(t + 1))
-                share = max(((d <= t) & ~linked).sum() / pairs, ball / 2.0 ** len(p))
+                share = max(met[t] / pairs, ball / 2.0 ** len(p))
                 row.append(n * ball * probe + n * n / 2 * share * verify)
             cost.append(row)
         ts = allocate(cost, distance)

@@ -15,10 +15,12 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,7 @@ BLOCK = 64
 COMMON = 0.05  # share of the examples from which on a word is common
 ROWS = 128  # documents searched at once
 SLICE = 4096  # document frequencies in a row
+PART = 4 << 20  # bytes of the packed index in a row
 HELD = 10.0  # examples that the uncalibrated shares are worth in the calibration
 TIE = 1e-9  # cosines this near count as equal
 
@@ -68,7 +71,7 @@ def examples_of(docs: DataFrame, rows: DataFrame, chars: int = CHARS) -> DataFra
 
 
 class Vocabulary:
-    """Numbers of words: the examples' words in order, then the buckets."""
+    """Numbers of words: the examples' words in order, then the buckets. Only who counts words, which the driver doesn't, gets them as a dictionary."""
 
     def __init__(self, words: pa.Array):
         self.__setstate__(words)
@@ -78,10 +81,13 @@ class Vocabulary:
 
     def __setstate__(self, words: pa.Array) -> None:
         self.words = words
-        self.number = {w: i for i, w in enumerate(words.to_pylist())}
+
+    @cached_property
+    def number(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.words.to_pylist())}
 
     def __len__(self) -> int:
-        return len(self.number) + OTHER
+        return len(self.words) + OTHER
 
     def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all words of a text, rising, and how often each is there."""
@@ -112,9 +118,8 @@ def vocabulary(known: DataFrame) -> pa.Array:
     return words.take(pc.sort_indices(words))
 
 
-def frequencies(docs: DataFrame, words) -> np.ndarray:
+def frequencies(docs: DataFrame, words, size: int) -> np.ndarray:
     """Documents that hold each word. words: the broadcast vocabulary, whose size bounds what a task sends: one row for each SLICE of it."""
-    size = len(words.value)
     slices = -(-size // SLICE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,32 +274,67 @@ def calibration(raw: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return max(float(at[0]), 0.0), float(at[1])
 
 
+class Learned:
+    """What the scores need, as the vocabulary's words and the bytes of `packed`. A task gets them as `known`: vocabulary, worth of its words, index, prior."""
+
+    def __init__(self, words: pa.Array, parts: pa.ChunkedArray):
+        self.words, self.parts = words, parts
+
+    def __getstate__(self) -> tuple:
+        return self.words, self.parts
+
+    def __setstate__(self, sent: tuple) -> None:
+        words, parts = sent
+        self.known = (Vocabulary(words), *pickle.loads(b"".join(p.as_buffer() for p in parts)))
+
+
+def packed(known: DataFrame, words, idf, prior: float) -> pa.ChunkedArray:
+    """Worth of the words, index of the examples and prior, pickled, as parts of PART bytes in order. words, idf: broadcasts.
+
+    One task makes them, from examples that LABELLED and CHARS bound; the driver only passes them on, and
+    needs no more memory than they do.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for b in batches:
+            lists = (np.split(v.flatten().to_numpy(), np.cumsum(pc.list_value_length(v).to_numpy())[:-1]) for v in (b.column(3), b.column(4)))
+            rows.extend(zip(*(b.column(i).to_pylist() for i in range(3)), *lists, strict=True) if b.num_rows else ())
+        if not rows:
+            return
+        rows.sort(key=lambda r: r[0])  # sums don't depend on the order of arrival
+        ids, marks, toxic, ts, cs = zip(*rows, strict=True)
+        worth = idf.value * relevance(ts, np.array(toxic), len(idf.value))
+        ws = [weigh(t, c, worth) for t, c in zip(ts, cs, strict=True)]
+        out = memoryview(pickle.dumps((worth, BlockMaxIndex(ids, marks, toxic, ts, ws, len(worth)), prior), pickle.HIGHEST_PROTOCOL))
+        for a in range(0, len(out), PART):
+            yield pa.RecordBatch.from_arrays([pa.array([out[a : a + PART]], pa.binary())], ["part"])
+
+    return vectors(known, words).repartition(1).mapInArrow(run, "part binary").toArrow().column(0)
+
+
 def learn(d: DataFrame, labels: DataFrame, k: int):
-    """What the scores need, as a broadcast: vocabulary, worth of its words, index, prior and calibration. None without examples of both kinds.
+    """What the scores need: a broadcast of vocabulary, worth of its words, index and prior, and the calibration. None without examples of both kinds.
 
-    d: doc_id, mark, text. At most LABELLED examples, of CHARS characters together, come to the driver as
-    numbers of words and go to the executors.
+    d: doc_id, mark, text. At most LABELLED examples, of CHARS characters together, are learned from. The
+    driver gets their words, and their index as bytes that it sends to the executors.
     """
-    spark = d.sparkSession
+    sc = d.sparkSession.sparkContext
     rows = written(labelled(labels), "toxicity-labelled")
     known = written(examples_of(d, rows), "toxicity-known")
     n, total = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n or not 0 < total < n:
         return None
-    words = spark.sparkContext.broadcast(Vocabulary(vocabulary(known)))
-    idf = np.log((1 + d.count()) / (1 + frequencies(d, words))) + 1
-    found = vectors(known, words).toArrow()
-    lists = lambda c: np.split((v := found.column(c).combine_chunks()).flatten().to_numpy(), np.cumsum(pc.list_value_length(v).to_numpy())[:-1])
-    ids, marks, toxic = (found.column(c).to_pylist() for c in ("doc_id", "mark", "toxic"))
-    ts, cs = lists("words"), lists("counts")
-    worth = idf * relevance(ts, np.array(toxic), len(idf))
-    ws = [weigh(t, c, worth) for t, c in zip(ts, cs, strict=True)]
-    prior = (total + 0.1) / (n + 1)
-    index = spark.sparkContext.broadcast((words.value, worth, BlockMaxIndex(ids, marks, toxic, ts, ws, len(idf)), prior))
+    vocab = Vocabulary(vocabulary(known))
+    words = sc.broadcast(vocab)
+    idf = sc.broadcast(np.log((1 + d.count()) / (1 + frequencies(d, words, len(vocab)))) + 1)
+    index = sc.broadcast(Learned(vocab.words, packed(known, words, idf, (total + 0.1) / (n + 1))))
+    words.destroy()
+    idf.destroy()
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shares = [s for s, _ in shares_of(index.value, b.column(1), b.column(0), k)]
+            shares = [s for s, _ in shares_of(index.value.known, b.column(1), b.column(0), k)]
             yield pa.RecordBatch.from_arrays([pa.array(shares, pa.float64()), b.column(2)], ["share", "toxic"])
 
     votes = known.select("mark", "text", "toxic").mapInArrow(alone, "share double, toxic double").toArrow()
@@ -329,7 +369,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, k: int =
             scores, evidence = [0.0] * b.num_rows, [[]] * b.num_rows
             if learned is not None:
                 index, (slope, offset) = learned
-                shares, evidence = zip(*shares_of(index.value, b.column(2), b.column(1), k), strict=True)
+                shares, evidence = zip(*shares_of(index.value.known, b.column(2), b.column(1), k), strict=True)
                 raw = np.array(shares)
                 scores = 1 / (1 + np.exp(-(slope * np.log(raw / (1 - raw)) + offset)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["doc_id", "mark", "score", "evidence"])
